@@ -6,19 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import packing, token_counts
+from . import packing, simhash, token_counts
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
 }
 
