@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import packing, simhash, token_counts
+from . import packing, resampling, rules, simhash, token_counts
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +21,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_resampling": op5_resampling,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
+    "op10_rules": op10_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
