@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import packing, resampling, rules, simhash, token_counts
+from . import packing, resampling, rules, simhash, token_counts, toxicity
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_resampling": op5_resampling,
     "op6_simhash": op6_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_rules": op10_rules,
 }
 
