@@ -14,13 +14,17 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow import Memo, small_batches, texts_of
+from .arrow import small_batches, texts_of
+from .merging import MergeTable
+from .pretokens import chunks_of, lower_words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ID_BYTES = 4
@@ -95,36 +99,48 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def _encoder(tokenizer_file: str):
-    """A whitespace-free chunk's ids as little-endian unsigned 32-bit bytes.
+class ChunkCoder(dict):
+    """Ids of white-space-free chunks, as little-endian unsigned 32-bit bytes; a cache that empties itself at a bound.
 
     White space ends every match of this tokenizer's splitter and no step of its normalizer looks across it, so a
     text's ids are those of its chunks, one after another.
     """
-    import numpy as np
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file)
-    t.no_truncation()
-    t.no_padding()
-
-    def encode(chunk: str) -> bytes:
-        return np.asarray(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    return encode
-
-
-#: White space to Python's str.split() that the tokenizer takes for symbols.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t-\r]+")
-
-
-def chunks_of(text: str) -> list[str]:
-    """The text's chunks between white space."""
-    return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
-
-
-_memo: dict[str, Memo] = {}
+    def __init__(self, tokenizer_file: str, limit: int = 800_000):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.library, self.table, self.limit = Tokenizer.from_file(tokenizer_file), MergeTable(tokenizer_file), limit
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def fill(self, chunks: set[str]) -> None:
+        """Make the ids of those chunks known."""
+        missing = [c for c in chunks if c not in self]
+        if len(self) + len(missing) > self.limit:
+            self.clear()
+            missing = list(chunks)
+        special = re.compile("|".join(map(re.escape, self.table.specials))) if self.table.specials else None
+        split = {}
+        for c in missing:
+            words = None if special and special.search(c) else lower_words(c)
+            if words is None:
+                self[c] = np.asarray(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                split[c] = words
+        words = list({w for ws in split.values() for w in ws})
+        coded = {}
+        for part in (words[i : i + 20_000] for i in range(0, len(words), 20_000)):
+            counts, ids = self.table.merge([w.encode() for w in part])
+            raw, at = ids.astype("<u4").tobytes(), 0
+            for w, n in zip(part, counts.tolist(), strict=True):
+                coded[w] = raw[at : at + n * ID_BYTES]
+                at += n * ID_BYTES
+        for c, ws in split.items():
+            self[c] = b"".join([coded[w] for w in ws])
+
+
+_coders: dict[str, ChunkCoder] = {}
 
 
 def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: int):
@@ -132,9 +148,9 @@ def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        if tokenizer_file not in _memo:
-            _memo[tokenizer_file] = Memo(_encoder(tokenizer_file))
-        get, end = _memo[tokenizer_file].__getitem__, int(end_id).to_bytes(ID_BYTES, "little")
+        if tokenizer_file not in _coders:
+            _coders[tokenizer_file] = ChunkCoder(tokenizer_file)
+        coder, end = _coders[tokenizer_file], int(end_id).to_bytes(ID_BYTES, "little")
         held: list[tuple[int, bytes]] = []
         tokens, next_id = 0, part << 40
 
@@ -182,8 +198,10 @@ def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for b in small_batches(batches, "text"):
-            for doc, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
-                ids = b"".join(map(get, chunks_of(text))) + end
+            chunked = [chunks_of(t) for t in texts_of(b.column("text"))]
+            coder.fill(set(chain.from_iterable(chunked)))
+            for doc, chunks in zip(b.column("doc_id").to_pylist(), chunked, strict=True):
+                ids = b"".join([coder[c] for c in chunks]) + end
                 held.append((doc, ids))
                 tokens += len(ids) // ID_BYTES
                 if tokens >= window_tokens:

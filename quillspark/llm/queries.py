@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import packing, resampling, rules, simhash, token_counts, toxicity
+from . import extraction, packing, resampling, rules, simhash, token_counts, toxicity
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_extraction": op1_extraction,
     "op4_packing": op4_packing,
     "op5_resampling": op5_resampling,
     "op6_simhash": op6_simhash,
