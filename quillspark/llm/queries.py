@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import extraction, packing, resampling, rules, simhash, token_counts, toxicity
+from . import byte_bpe, extraction, packing, resampling, rules, simhash, token_counts, toxicity
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,13 @@ def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_extraction": op1_extraction,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
     "op5_resampling": op5_resampling,
     "op6_simhash": op6_simhash,
