@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import byte_bpe, extraction, packing, resampling, rules, simhash, token_counts, toxicity
+from . import byte_bpe, extraction, packing, resampling, rules, simhash, token_counts, topk, toxicity, warc
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_extraction": op1_extraction,
+    "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_packing": op4_packing,
     "op5_resampling": op5_resampling,
     "op6_simhash": op6_simhash,
+    "op7_topk": op7_topk,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_rules": op10_rules,
