@@ -157,29 +157,28 @@ class Coder:
             plain = F.transform(s, lambda x: sym(x))
 
             def at(low: Column) -> Column:
-                hits = F.transform(s, lambda x: F.floor(x / _RANK) == low)
-                # the length of the run of hits up to here tells whether a hit is taken
-                runs = F.aggregate(
-                    hits, F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(False).alias("taken")),
-                    lambda acc, h: F.struct(F.array_append(acc["out"], h & ~acc["taken"]).alias("out"), (h & ~acc["taken"]).alias("taken")),
-                    lambda acc: acc["out"],
-                )
+                hits = F.array_join(F.transform(s, lambda x: F.when(F.shiftright(x, 41) == low, "1").otherwise("0")), "")
+                taken = F.transform(F.split(F.regexp_replace(hits, "11", "10"), ""), lambda c: c == "1")
                 with_new = lambda r: F.filter(
                     F.transform(plain, lambda x, i: F.when(F.get(r, i), low).when(F.coalesce(F.get(r, i - 1), F.lit(False)), F.lit(-1)).otherwise(x)), lambda x: x >= 0
                 )
-                return let(runs, lambda r: let(with_new(r), begin))
+                return let(taken, lambda r: let(with_new(r), begin))
 
-            low = let(F.array_min(s), lambda m: F.floor(m / _RANK))
-            return let(low, lambda m: F.when(m < NO_RANK, at(m)).otherwise(s))
+            return let(F.shiftright(F.array_min(s), 41), at)
+
+        def with_least(s: Column) -> Column:
+            return F.struct(s.alias("s"), F.array_min(s).alias("m"))
 
         latin = F.decode(F.to_binary(word, F.lit("utf-8")), "ISO-8859-1")
-        n = F.char_length(latin)
-        symbols = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(single, F.ascii(F.substr(latin, i, F.lit(1)))))
+        symbols = F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c)))
 
         def out(s: Column) -> Column:
             steps = F.sequence(F.lit(2), F.size(s))
             short = F.aggregate(steps, s, lambda acc, _: one(acc))
-            long = F.aggregate(F.filter(steps, lambda k: k <= LONG_WORD), s, lambda acc, _: everywhere(acc))
+            # two loops of the root of the size: what is done passes few steps, as each one copies the state
+            some = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(s).cast("double"))))
+            step = lambda acc, _: F.when(acc["m"] < none, let(everywhere(acc["s"]), with_least)).otherwise(acc)
+            long = F.aggregate(some, with_least(s), lambda acc, _: F.when(acc["m"] < none, F.aggregate(some, acc, step)).otherwise(acc), lambda acc: acc["s"])
             done = F.when(F.size(s) < 2, s).when(F.size(s) <= LONG_WORD, short).otherwise(long)
             return F.array_join(F.transform(done, lambda x: sym(x).cast("string")), " ")
 
