@@ -258,6 +258,7 @@ def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     p = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("p")).where(F.col("page_id").isNotNull() & (F.octet_length("p") >= least_bytes))
     d = materialize(p.select("page_id", F.sha1("p").alias("d")), "digests")
     first = d.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("d", "first")
+    first = materialize(first, "first-pages")  # as a table of its own, so that Spark can split a hot payload's rows in the join
     return d.join(first, "d").where(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
 
 
