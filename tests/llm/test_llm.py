@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -470,3 +471,21 @@ def test_pipeline(spark):
     assert sorted(r.doc_id for r in third) == sorted({*brute_components(fps).values()})
     pieces = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in third}
+
+
+# ---- queries
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op7_topk", "op10_rules"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from quillspark.llm import queries
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), db.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda d: sorted((tuple(None if v is None or v != v else int(v) if isinstance(v, float) else v for v in r) for r in d[sorted(d.columns)].astype(object).replace({pd.NA: None}).values.tolist()), key=str)
+    assert list(map(str, rows(got))) == list(map(str, rows(want)))
