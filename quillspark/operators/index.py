@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .analyze import Analyzer, ascii_words, block_terms
 
 
@@ -39,7 +40,7 @@ def numbered(docs: DataFrame, per_block: int, key: str = "doc_id") -> DataFrame:
     sizes are summed, so that no task sees all rows."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id())
+    d = materialize(docs.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()), "ranges")  # ranges drawn once
     sizes = d.groupBy("__part").count()
     before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
     at = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
