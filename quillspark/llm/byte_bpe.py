@@ -6,7 +6,9 @@ literal array and concatenates the pieces.
 
 Distinct words are counted over all documents, and the most frequent of them (a bounded number) are folded once: their
 ids are a literal dictionary, which only saves time. Every other word is folded where it stands, so no token is
-shuffled. Literal maps are perfect hash tables: arrays with a displacement per bucket, looked up in constant time.
+shuffled. Literal maps are perfect hash tables: arrays with a displacement per bucket, looked up in constant time. They
+are the value of a scalar subquery, so that plans stay small; a projection of its own holds it until Spark merges it
+with the one that uses it, as the analyzer takes no subquery inside a higher-order function.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import base64
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
@@ -84,8 +87,21 @@ def _sized(n: int) -> int:
     return max(31, 2 * n + 1)
 
 
-def _longs(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+def _literals(spark: SparkSession, **arrays) -> Column:
+    """Arrays as the fields of one literal struct."""
+    made = {k: pa.array(v, pa.int64() if isinstance(v, np.ndarray) else pa.string()) for k, v in arrays.items()}
+    one = {k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in made.items()}
+    row = pa.StructArray.from_arrays(list(one.values()), names=list(one))
+    return spark.createDataFrame(pa.table({"literals": row})).select("literals").scalar()
+
+
+def _bound(tables: Column, names: str, use) -> Column:
+    """use(one column for each of the named arrays), each bound once."""
+
+    def bind(struct: Column, left: list[str], found: list[Column]) -> Column:
+        return let(struct[left[0]], lambda x: bind(struct, left[1:], [*found, x])) if left else use(*found)
+
+    return let(tables, lambda struct: bind(struct, names.split(), []))
 
 
 @lru_cache(maxsize=4)
@@ -115,8 +131,7 @@ class Coder:
         self.file, self.pattern = rank_file, "(?U)" + pattern
         self.ranks = ranks_of(rank_file)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words: list[str] = []
-        self.ids: list[str] = []
+        self.words = {"known": [""], "ids": [""], "hops": np.zeros(_BUCKETS, np.int64)}
 
     def split(self, text: Column) -> Column:
         """All matches of the pattern; null and empty texts have none."""
@@ -184,16 +199,20 @@ class Coder:
 
         return let(let(symbols, begin), out)
 
-    def _with_tables(self, use) -> Column:
-        d, t = _pair_tables(self.file)
-        return let(_longs(t), lambda tt: let(_longs(d), lambda dd: let(_longs(self.bytes), lambda ss: use(lambda w: self._folded(w, tt, dd, ss, len(t))))))
-
-    def fold(self, word: Column) -> Column:
+    def fold(self, word: Column, tables: Column) -> Column:
         """The ids of one word, joined by blanks."""
-        return self._with_tables(lambda fold: fold(word))
+        return _bound(tables, "pairs shifts single", lambda t, d, x: self._folded(word, t, d, x, len(_pair_tables(self.file)[1])))
 
     # ---- the dictionary
 
+    def tables(self, spark: SparkSession) -> Column:
+        """The literal maps; pieces holds each id's bytes, a character for a byte."""
+        d, t = _pair_tables(self.file)
+        pieces = [""] * (max(self.ranks.values()) + 1)
+        for token, r in self.ranks.items():
+            pieces[r] = token.decode("latin-1")
+        return _literals(spark, pairs=t, shifts=d, single=self.bytes, pieces=pieces, **self.words)
+
     def learn(self, docs: DataFrame, most_words: int = 200_000) -> Coder:
         """Fold the most frequent words of all documents once: at most `most_words`, of 64 characters at most."""
         w = docs.select(F.explode(self.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -205,56 +224,58 @@ class Coder:
             if total + n > most_words:
                 break
             total, least = total + n, lv
-        found = {} if least is None else {r[0]: r[1] for r in w.where(level >= least).select("word", self.fold(F.col("word")).alias("ids")).collect()}
+        found: dict[str, str] = {}
+        if least is not None:
+            top = w.where(level >= least).select("word", self.tables(docs.sparkSession).alias("__tables"))
+            got = top.select("word", self.fold(F.col("word"), F.col("__tables")).alias("ids")).toArrow()
+            found = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
         for token, r in self.ranks.items():  # a word that is a token has its id, also if merging doesn't lead there
-            try:
-                word = token.decode()
-            except UnicodeDecodeError:
-                continue
-            if word in found or merge_bytes(token, self.ranks) != [r]:
+            word = token.decode("utf-8", "ignore")
+            if word.encode() == token and merge_bytes(token, self.ranks) != [r]:
                 found[word] = str(r)
-        found = {k: v for k, v in found.items() if "\x01" not in k}
-        self.words, self.ids = list(found), list(found.values())
+        self._set_words(found)
         return self
 
-    def ids_text(self, text: Column) -> Column:
-        """The ids of a text, joined by blanks; "" for null and empty texts."""
-        if not self.words:
-            return self._with_tables(lambda fold: F.array_join(F.transform(self.split(text), fold), " "))
+    def _set_words(self, found: dict[str, str]) -> None:
         from xxhash import xxh64_intdigest
 
-        h = np.array([xxh64_intdigest(w.encode(), 42) for w in self.words], np.uint64).view(np.int64) >> 2
+        h = np.array([xxh64_intdigest(w.encode(), 42) for w in found], np.uint64).view(np.int64) >> 2
         for size in range(_sized(len(h)), _sized(len(h)) + 2_000, 2):
             try:
                 d = displaced(h, h % _BUCKETS, size)
                 break
             except ValueError:
                 continue
-        at = ((h + d[h % _BUCKETS]) % size).tolist()
         words, ids = [""] * size, [""] * size
-        for k, w, i in zip(at, self.words, self.ids, strict=True):
+        for k, (w, i) in zip(((h + d[h % _BUCKETS]) % size).tolist(), found.items(), strict=True):
             words[k], ids[k] = w, i
-        hashed = lambda w: F.shiftright(F.xxhash64(w), 2)
-        slot = lambda w, dd: F.pmod(hashed(w) + F.get(dd, F.pmod(hashed(w), F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
+        self.words = {"known": words, "ids": ids, "hops": d}
 
-        def coded(fold) -> Column:
-            def look(ww: Column, ii: Column, dd: Column) -> Column:
-                known = lambda w, s: F.when(F.get(ww, s) == w, F.get(ii, s)).otherwise(fold(w))
-                return let(self.split(text), lambda x: F.array_join(F.zip_with(x, F.transform(x, lambda w: slot(w, dd)), known), " "))
+    def ids_text(self, text: Column, tables: Column) -> Column:
+        """The ids of a text, joined by blanks; "" for null and empty texts."""
+        size, pairs = len(self.words["known"]), len(_pair_tables(self.file)[1])
 
-            strings = lambda x: F.split(F.lit("\x01".join(x)), "\x01")
-            return let(strings(words), lambda ww: let(strings(ids), lambda ii: let(_longs(d), lambda dd: look(ww, ii, dd))))
+        def coded(t: Column, d: Column, single: Column, known: Column, ids: Column, hops: Column) -> Column:
+            hashed = lambda w: F.shiftright(F.xxhash64(w), 2)
+            slot = lambda w: F.pmod(hashed(w) + F.get(hops, F.pmod(hashed(w), F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
+            look = lambda w, s: F.when(F.get(known, s) == w, F.get(ids, s)).otherwise(self._folded(w, t, d, single, pairs))
+            return let(self.split(text), lambda x: F.array_join(F.zip_with(x, F.transform(x, slot), look), " "))
 
-        return self._with_tables(coded)
+        return _bound(tables, "pairs shifts single known ids hops", coded)
 
-    def decode_text(self, ids_text: Column) -> Column:
+    def decode_text(self, ids_text: Column, tables: Column) -> Column:
         """The bytes of ids joined by blanks."""
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for token, r in self.ranks.items():
-            pieces[r] = token.hex()
-        latin = F.transform(F.split(F.lit(",".join(pieces)), ","), lambda x: F.decode(F.unhex(x), "ISO-8859-1"))
         ids = F.filter(F.split(ids_text, " "), lambda x: x != "")
-        return F.encode(let(latin, lambda p: F.array_join(F.transform(ids, lambda x: F.get(p, x.cast("int"))), "")), "ISO-8859-1")
+        return F.encode(_bound(tables, "pieces", lambda p: F.array_join(F.transform(ids, lambda x: F.get(p, x.cast("int"))), "")), "ISO-8859-1")
+
+    def encoded(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, r): the ids of each text, joined by blanks (r.t), and the bytes that they decode to (r.decoded).
+
+        Both come from one expression: a projection that has the maps as a column would copy them into every row.
+        """
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", self.tables(docs.sparkSession).alias("__tables"))
+        both = lambda x: let(self.ids_text(F.col("text"), x), lambda t: F.struct(t.alias("t"), self.decode_text(t, x).alias("decoded")))
+        return d.select("doc_id", let(F.col("__tables"), both).alias("r"))
 
 
 def n_ids(ids_text: Column) -> Column:
@@ -269,13 +290,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 200_
     no rows; a null doc_id stays.
     """
     coder = Coder(rank_file, pattern).learn(docs, most_words)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), coder.ids_text(F.col("text")).alias("t"))
-    ids = F.filter(F.split("t", " "), lambda x: x != "").cast("array<int>")
-    return d.select("doc_id", ids.alias("ids"), coder.decode_text(F.col("t")).alias("decoded"))
+    ids = F.filter(F.split("r.t", " "), lambda x: x != "").cast("array<int>")
+    return coder.encoded(docs).select("doc_id", ids.alias("ids"), "r.decoded")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 200_000) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode()."""
     coder = Coder(rank_file, pattern).learn(docs, most_words)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), coder.ids_text(F.col("text")).alias("t"))
-    return d.select("doc_id", n_ids(F.col("t")).alias("n_tokens"), F.sha2("t", 256).alias("ids_sha256"), F.sha2(coder.decode_text(F.col("t")), 256).alias("decoded_sha256"))
+    t = F.col("r.t")
+    return coder.encoded(docs).select("doc_id", n_ids(t).alias("n_tokens"), F.sha2(t, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
