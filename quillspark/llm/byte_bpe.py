@@ -32,8 +32,6 @@ NO_RANK = 1 << 16
 #: Words of more bytes are merged at all places of the lowest pair at once.
 LONG_WORD = 1 << 14
 _BUCKETS = 65_521
-#: Coefficients of left and right symbol for the slot and the bucket of a pair.
-_PAIR = ((40_503, 9_973), (7_919, 104_729))
 
 
 @lru_cache(maxsize=4)
@@ -84,7 +82,7 @@ def displaced(slots: np.ndarray, buckets: np.ndarray, size: int) -> np.ndarray:
 
 def _sized(n: int) -> int:
     """An odd size with room for n keys."""
-    return max(31, 2 * n + 1)
+    return max(31, 3 * n // 2 | 1)
 
 
 def _literals(spark: SparkSession, **arrays) -> Column:
@@ -112,15 +110,15 @@ def _pair_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("ids of at most 16 bits are supported")
     found = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     a, b, r = np.array(found, np.int64).reshape(-1, 3).T
-    (sa, sb), (ba, bb) = _PAIR
+    keys = a * NO_RANK + b
     for size in range(_sized(len(a)), _sized(len(a)) + 2_000, 2):
         try:
-            d = displaced(a * sa + b * sb, (a * ba + b * bb) % _BUCKETS, size)
+            d = displaced(keys, keys % _BUCKETS, size)
             break
         except ValueError:
             continue
     table = np.full(size, -1, np.int64)
-    table[(a * sa + b * sb + d[(a * ba + b * bb) % _BUCKETS]) % size] = (a * NO_RANK + b) * _SYMBOL + r
+    table[(keys + d[keys % _BUCKETS]) % size] = keys * _SYMBOL + r
     return d, table
 
 
@@ -139,29 +137,30 @@ class Coder:
 
     # ---- folding
 
-    def _rank(self, t: Column, d: Column, a: Column, b: Column, size: int) -> Column:
-        (sa, sb), (ba, bb) = _PAIR
-        slot = F.pmod(a * sa + b * sb + F.get(d, F.pmod(a * ba + b * bb, F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
-        # another pair's entry is far from this pair's, so that the distance is no rank
-        return F.least(F.abs(F.get(t, slot) - (a * NO_RANK + b) * _SYMBOL), F.lit(NO_RANK))
-
     def _folded(self, word: Column, t: Column, d: Column, single: Column, size: int) -> Column:
         """The ids of a word, joined by blanks."""
-        sym = lambda x: x.bitwiseAND(F.lit(_SYMBOL - 1))
-        rank = lambda a, b: F.coalesce(self._rank(t, d, a, b, size), F.lit(NO_RANK)) * _RANK
         none = NO_RANK * _RANK
+        sym = lambda x: x.bitwiseAND(F.lit(_SYMBOL - 1))
+
+        def element(key: Column, low: Column) -> Column:
+            """What stands for a symbol: the rank of its pair (by the pair's key, null at the end) over place and symbol."""
+            slot = F.pmod(key + F.get(d, F.pmod(key, F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
+            # another pair's entry is far from this pair's, so that the distance is no rank
+            rank = F.least(F.abs(F.get(t, slot) - key * _SYMBOL), F.lit(NO_RANK))
+            return F.coalesce(rank * _RANK, F.lit(none)) + low
 
         def begin(symbols: Column) -> Column:
-            place = lambda i: i.cast("bigint").bitwiseAND(F.lit(_PLACE - 1)) * _SYMBOL
-            return F.transform(symbols, lambda x, i: rank(x, F.get(symbols, i + 1)) + place(i) + x)
+            keys = F.zip_with(symbols, F.slice(symbols, F.lit(2), F.size(symbols)), lambda a, b: a * NO_RANK + b)
+            lows = F.transform(symbols, lambda x, i: i.cast("bigint").bitwiseAND(F.lit(_PLACE - 1)) * _SYMBOL + x)
+            return F.zip_with(keys, lows, element)
 
         def merged(s: Column, m: Column, i: Column) -> Column:
-            c = F.shiftright(m, 41)
-            new = rank(c, sym(F.get(s, i + 1))) + m.bitwiseAND(F.lit((_PLACE - 1) * _SYMBOL)) + c
-            before = F.get(s, i - 2)
-            prev = rank(sym(before), c) + before.bitwiseAND(F.lit(_RANK - 1))
+            c, before = F.shiftright(m, 41), F.get(s, i - 2)
+            new_key, new_low = c * NO_RANK + sym(F.get(s, i + 1)), m.bitwiseAND(F.lit((_PLACE - 1) * _SYMBOL)) + c
+            new = lambda ks, ls: F.zip_with(F.array(*ks), F.array(*ls), element)
             rest = F.slice(s, i + 2, F.size(s))
-            return F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(prev, new), rest)).otherwise(F.concat(F.array(new), rest))
+            two = new([sym(before) * NO_RANK + c, new_key], [before.bitwiseAND(F.lit(_RANK - 1)), new_low])
+            return F.when(i > 1, F.concat(F.slice(s, F.lit(1), i - 2), two, rest)).otherwise(F.concat(new([new_key], [new_low]), rest))
 
         def one(s: Column) -> Column:
             apply = lambda m: F.when(m < none, let(F.array_position(s, m).cast("int"), lambda i: merged(s, m, i))).otherwise(s)
@@ -184,7 +183,8 @@ class Coder:
         def with_least(s: Column) -> Column:
             return F.struct(s.alias("s"), F.array_min(s).alias("m"))
 
-        latin = F.decode(F.to_binary(word, F.lit("utf-8")), "ISO-8859-1")
+        as_latin = F.decode(F.to_binary(word, F.lit("utf-8")), "ISO-8859-1")  # a character for a byte
+        latin = F.when(F.octet_length(word) == F.char_length(word), word).otherwise(as_latin)
         symbols = F.transform(F.split(latin, ""), lambda c: F.get(single, F.ascii(c)))
 
         def out(s: Column) -> Column:
@@ -213,7 +213,7 @@ class Coder:
             pieces[r] = token.decode("latin-1")
         return _literals(spark, pairs=t, shifts=d, single=self.bytes, pieces=pieces, **self.words)
 
-    def learn(self, docs: DataFrame, most_words: int = 200_000) -> Coder:
+    def learn(self, docs: DataFrame, most_words: int = 400_000) -> Coder:
         """Fold the most frequent words of all documents once: at most `most_words`, of 64 characters at most."""
         w = docs.select(F.explode(self.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         w = materialize(w.where(F.char_length("word") <= 64), "word-counts")
@@ -283,7 +283,7 @@ def n_ids(ids_text: Column) -> Column:
     return F.when(ids_text == "", F.lit(0)).otherwise(F.length(ids_text) - F.length(F.replace(ids_text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, ids (array<int>), decoded (binary: the text's bytes, from the ids).
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored; an empty table gives
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 200_
     return coder.encoded(docs).select("doc_id", ids.alias("ids"), "r.decoded")
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 200_000) -> DataFrame:
+def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode()."""
     coder = Coder(rank_file, pattern).learn(docs, most_words)
     t = F.col("r.t")
