@@ -2,8 +2,8 @@
 
 A page becomes a line of tokens: words score positive, tags and the words of page furniture negative, with weights
 that are log odds of a kind of token inside and outside the main text of labelled pages. One linear scan finds the
-contiguous region of the highest sum. The region grows to the content container that it lies in, or else to its
-blocks, and furniture inside it is left out.
+contiguous region of the highest sum. The region grows to its blocks and over the content containers that it meets and
+their siblings that score positive, and furniture inside it is left out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -170,6 +171,28 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
+def _grown(first: int, end: int, containers: list[tuple[int, int]], scores: list[float]) -> tuple[int, int]:
+    """[first, end) with every container that it meets, and those of their siblings whose own score is positive. What
+    lies between is part of it, furniture aside."""
+    met = [c for c in containers if c[0] < end and first < c[1]]
+    up = _parents(containers)
+    beside = {up[c] for c in met}
+    upto = [0.0, *accumulate(scores)]
+    more = [c for c in containers if up[c] in beside and upto[c[1]] > upto[c[0]]]
+    return min([first, *(c[0] for c in met + more)]), max([end, *(c[1] for c in met + more)])
+
+
+def _parents(containers: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int] | None]:
+    """The innermost container around each one."""
+    up, open_ = {}, []
+    for c in sorted(containers, key=lambda c: (c[0], -c[1])):
+        while open_ and open_[-1][1] < c[1]:
+            open_.pop()
+        up.setdefault(c, open_[-1] if open_ else None)
+        open_.append(c)
+    return up
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; "" for null, for empty pages and for those without words outside furniture.
 
@@ -184,14 +207,9 @@ def main_text(page: str | None) -> str:
     first, end = best_region(scores)
     if first == end:
         return ""
-    around = [c for c in containers if c[0] < end and first < c[1]]
-    if around:  # the outermost container that the region meets holds all of it
-        words = lambda c: sum(x.words for x in items[c[0] : c[1]] if not isinstance(x, str) and not x.out and not x.link)
-        first, end = max(around, key=lambda c: (words(c), -(c[1] - c[0])))
-    else:
-        of = {x.block for x in items[first:end] if not isinstance(x, str)}
-        own = [x.at for x in items if not isinstance(x, str) and x.block in of]
-        first, end = min(own), max(own) + 1
+    of = {x.block for x in items[first:end] if not isinstance(x, str)}
+    own = [x.at for x in items if not isinstance(x, str) and x.block in of]
+    first, end = _grown(min(own), max(own) + 1, containers, scores)
     blocks: dict[int, list[str]] = {}
     for x in items[first:end]:
         if not isinstance(x, str) and not x.out:

@@ -79,6 +79,17 @@ def test_extraction(spark):
     assert extraction.extract(d).count() == len(pages) and extraction.extract(d.limit(0)).count() == 0
 
 
+def test_extraction_keeps_all_blocks_of_an_article():
+    w = " ".join(f"word{i} goes on" for i in range(20))
+    body = lambda t: f'<div class="article-body"><p>{t} {w}</p></div>'
+    two = f'<body><nav><a href=x>Home</a></nav>{body("First")}<div class="ad">Buy</div>{body("Second")}<footer>f</footer></body>'
+    assert extraction.main_text(two) == f"First {w}\nSecond {w}"
+    apart = f'<body>{body("First")}<ul class="menu">{"<li><a href=x>link</a></li>" * 80}</ul>{body(f"Second {w}")}</body>'
+    assert extraction.main_text(apart) == f"First {w}\nSecond {w} {w}"
+    box = f'<body><nav><a href=x>Home</a></nav><div><p>Before {w}</p><div class="story"><p>A small box.</p></div><p>After {w}</p></div></body>'
+    assert extraction.main_text(box) == f"Before {w}\nA small box.\nAfter {w}"
+
+
 def test_best_region():
     rng = random.Random(1)
     for _ in range(200):
