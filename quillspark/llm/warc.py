@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, shared_path, ship
@@ -253,13 +253,18 @@ def _write_task(folder: str, most_file: int) -> Callable:
     return run
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "utf-8")
+
+
 def originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload of at least `least_bytes` bytes a smaller page_id has too."""
-    p = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("p")).where(F.col("page_id").isNotNull() & (F.octet_length("p") >= least_bytes))
+    """(page_id, d, refers_to) of the pages whose payload of at least `least_bytes` bytes a smaller page_id has too; d
+    is the payload's SHA-1."""
+    p = pages.select("page_id", _payload().alias("p")).where(F.col("page_id").isNotNull() & (F.octet_length("p") >= least_bytes))
     d = materialize(p.select("page_id", F.sha1("p").alias("d")), "digests")
     first = d.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("d", "first")
     first = materialize(first, "first-pages")  # as a table of its own, so that Spark can split a hot payload's rows in the join
-    return d.join(first, "d").where(F.col("page_id") != F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
+    return d.join(first, "d").where(F.col("page_id") != F.col("first")).select("page_id", "d", F.col("first").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, most_file: int = 128 << 20) -> DataFrame:
@@ -271,8 +276,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, most_file: int =
     """
     ship(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    old = originals(p, least_bytes)
-    rows = p.join(old, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    old = originals(p, least_bytes).withColumnRenamed("page_id", "of")
+    rows = p.join(old, (F.col("page_id") == F.col("of")) & (F.sha1(_payload()) == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
     return materialize(rows.mapInArrow(_write_task(folder, most_file), MANIFEST), "manifest")
 
 

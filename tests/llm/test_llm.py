@@ -117,6 +117,14 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages_for(spark).limit(0)).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "u", "x"), (2, "u", "y"), (5, "u", "x"), (5, "u", "own"), (6, "u", "x"), (6, "u", "y")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(d).collect())
+    x, y, own = (warc.digest(c) for c in (b"x", b"y", b"own"))
+    want = [(1, x, "response", None), (2, y, "response", None), (5, x, "revisit", 1), (5, own, "response", None), (6, x, "revisit", 1), (6, y, "revisit", 2)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(spark, tmp_path, packed):
     rng = random.Random(3)
