@@ -75,17 +75,18 @@ def fingerprint_texts(texts: list[str | None], width: int = 3, seed: int = 42) -
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row of docs; fp is the fingerprint as a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, fp) per row of docs, and other long columns; fp is the fingerprint as a signed long. Null texts count as
+    empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 2 << 20):
             fp = fingerprint_texts(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *map(b.column, also)], names=["doc_id", "fp", *also])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    return d.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 class Forest:
@@ -197,6 +198,17 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return v.mapInArrow(_links_task, "x long, y long")
 
 
+def _grouped(fps: DataFrame) -> DataFrame:
+    """The rows of fingerprints() with the root of their component (a fingerprint) and component_id."""
+    fps = materialize(fps, "fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    star = components(links(distinct.select("fp")))
+    rooted = distinct.join(star.select(F.col("x").alias("fp"), F.col("y").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that
     links reach, itself included).
@@ -204,25 +216,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. Repeated rows are copies. A null doc_id gets a
     component but never names one. An empty table gives no rows; other columns are ignored.
     """
-    fps = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    star = components(links(distinct.select("fp")))
-    rooted = distinct.join(star.select(F.col("x").alias("fp"), F.col("y").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    out = _grouped(fingerprints(docs))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id. Of repeated rows of it one stays; rows
-    without a doc_id stay, as nothing can be said of them. All columns are kept."""
-    found = materialize(near_duplicates(docs), "near-duplicates")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    """docs with one row of each component: that with the smallest doc_id. Of repeated rows of it one stays; texts that
+    share a doc_id are told apart by their hashes. Rows without a doc_id stay, as nothing can be said of them. All
+    columns are kept."""
+    marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    found = _grouped(fingerprints(marked, "__text")).where("doc_id is not null").select("doc_id", "__text", "root", "component_id")
+    found = materialize(found, "near-duplicates")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    gone = found.where("doc_id != component_id").select("doc_id", "__text")
+    if repeated:
+        heads = found.where("doc_id = component_id")
+        kept = heads.groupBy("root").agg(F.min("__text").alias("__kept"))
+        gone = gone.union(heads.join(kept, "root").where("__text != __kept").select("doc_id", "__text"))
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("__text").alias("__gone_text")).distinct()
+    out = marked.join(gone, (marked["doc_id"] == F.col("__gone")) & (marked["__text"] == F.col("__gone_text")), "left_anti")
+    if repeated:
         from pyspark.sql import Window
 
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+        first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(0)))
         out = out.withColumn("__first", first).where("__first = 1 or doc_id is null").drop("__first")
-    return out
+    return out.drop("__text")

@@ -332,6 +332,13 @@ def test_simhash(docs, empty):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == sorted({*want.values()})
 
 
+def test_one_row_of_every_component_with_repeated_ids(spark):
+    w = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    d = spark.createDataFrame([(1, w["a"]), (2, w["a"]), (2, w["b"]), (3, w["b"]), (4, w["c"]), (4, w["d"]), (4, w["d"]), (4, w["d"].upper()), (None, w["a"])], "doc_id long, text string")
+    got = [(r.doc_id, (r.text or "").lower()) for r in simhash.drop_near_duplicates(d).collect()]
+    assert sorted(got, key=str) == sorted([(1, w["a"]), (2, w["b"]), (4, w["c"]), (4, w["d"]), (None, w["a"])], key=str)
+
+
 def test_links_of_random_fingerprints(spark):
     rng = random.Random(10)
     fps = [rng.getrandbits(64) for _ in range(60)]
