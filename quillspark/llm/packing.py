@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow import small_batches, texts_of
+from .arrow import CACHE_BYTES, cache_of, enter, entry_bytes, small_batches, texts_of
 from .merging import MergeTable
 from .pretokens import chunks_of, lower_words
 
@@ -106,20 +106,29 @@ class ChunkCoder(dict):
     text's ids are those of its chunks, one after another.
     """
 
-    def __init__(self, tokenizer_file: str, limit: int = 800_000):
+    def __init__(self, tokenizer_file: str, limit: int = CACHE_BYTES):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.library, self.table, self.limit = Tokenizer.from_file(tokenizer_file), MergeTable(tokenizer_file), limit
+        self.old, self.held = {}, 0
         self.library.no_truncation()
         self.library.no_padding()
 
     def fill(self, chunks: set[str]) -> None:
         """Make the ids of those chunks known."""
-        missing = [c for c in chunks if c not in self]
-        if len(self) + len(missing) > self.limit:
+        if self.held > self.limit / 2:  # what the last two generations asked for stays
+            self.old = dict(self)
             self.clear()
-            missing = list(chunks)
+            self.held = 0
+        missing = []
+        for c in chunks:
+            if c not in self:
+                if c in self.old:
+                    self[c] = self.old[c]
+                    self.held += entry_bytes(c, self[c])
+                else:
+                    missing.append(c)
         special = re.compile("|".join(map(re.escape, self.table.specials))) if self.table.specials else None
         split = {}
         for c in missing:
@@ -138,15 +147,18 @@ class ChunkCoder(dict):
                 at += n * ID_BYTES
         for c, ws in split.items():
             self[c] = b"".join([coded[w] for w in ws])
+        self.held += sum(entry_bytes(c, self[c]) for c in missing)
 
 
 _coders: dict[str, ChunkCoder] = {}
+cache_of("packing", _coders.clear)
 
 
 def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        enter("packing")
         part = TaskContext.get().partitionId()
         if tokenizer_file not in _coders:
             _coders[tokenizer_file] = ChunkCoder(tokenizer_file)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
-from .arrow import Memo, small_batches, texts_of
+from .arrow import Memo, cache_of, enter, small_batches, texts_of
 
 BITS = 16
 SIZE = 2 << BITS  # single runs, then pairs
@@ -35,7 +35,8 @@ def _hashes(chunk: str) -> bytes:
     return b"".join([xxh64_intdigest(r.encode("utf-8", "replace")).to_bytes(8, "little") for r in _RUNS.findall(chunk)])
 
 
-_memo = Memo(_hashes, 600_000)
+_memo = Memo(_hashes)
+cache_of("resampling", _memo.forget)
 
 
 def buckets(text: str) -> np.ndarray:
@@ -51,6 +52,7 @@ def corpus_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray,
     wanted = np.sort(np.asarray(target_ids, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("resampling")
         raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
         for b in small_batches(batches, "text"):
             ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
@@ -92,6 +94,7 @@ def score(model: np.ndarray, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def log_ratio(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enter("resampling")
         for s in parts:
             yield pd.Series([float(model[buckets(t)].sum(dtype=np.float64)) if t else 0.0 for t in s], dtype="float64")
 

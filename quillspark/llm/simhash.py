@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
-from .arrow import small_batches
+from .arrow import enter, small_batches
 from .components import components
 
 #: The bits left out, as (lowest, how many).
@@ -81,7 +81,8 @@ def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text", 2 << 20):
+        enter("simhash")
+        for b in small_batches(batches, "text"):
             fp = fingerprint_texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *map(b.column, also)], names=["doc_id", "fp", *also])
 

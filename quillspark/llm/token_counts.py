@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow import small_batches, texts_of
+from .arrow import CACHE_BYTES, cache_of, enter, entry_bytes, small_batches, texts_of
 from .merging import MergeTable
 from .pretokens import byte_level, spaced_pieces
 
@@ -21,9 +21,10 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 class Counter:
     """Token counts of texts; keeps the counts of pieces and pre-tokens in caches that empty themselves at a bound."""
 
-    def __init__(self, tokenizer_file: str, pattern: str, limit: int = 600_000):
+    def __init__(self, tokenizer_file: str, pattern: str, limit: int = CACHE_BYTES):
         self.table, self.pattern, self.limit = MergeTable(tokenizer_file), pattern, limit
         self.pieces: dict[str, int] = {}  # of pieces that follow a blank
+        self.held = 0
         specials = sorted(self.table.specials, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -49,21 +50,25 @@ class Counter:
                 parts = self.special.split(t) if found else [t]
                 split.append([w for p in parts for w in byte_level(p, self.pattern)])
         wanted = set(chain.from_iterable(p[1:] for p in quick if p))
-        if len(self.pieces) + len(wanted) > self.limit:
+        if self.held > self.limit:
             self.pieces.clear()
+            self.held = 0
         missing = {p: byte_level(" " + p, self.pattern) for p in wanted if p not in self.pieces}
         of = self._words(list({w for ws in chain(missing.values(), split) for w in ws}))
         for p, ws in missing.items():
             self.pieces[p] = sum([of[w] for w in ws])
+            self.held += entry_bytes(p, 0)
         get = self.pieces.__getitem__
         return [n + sum([of[w] for w in ws]) + (sum(map(get, p[1:])) if p else 0) for n, ws, p in zip(extra, split, quick, strict=True)]
 
 
 _counters: dict[tuple[str, str], Counter] = {}
+cache_of("token counts", _counters.clear)
 
 
 def _count_task(tokenizer_file: str, pattern: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token counts")
         key = (tokenizer_file, pattern)
         if key not in _counters:
             _counters[key] = Counter(*key)

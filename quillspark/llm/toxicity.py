@@ -40,7 +40,7 @@ class Lexicon:
 
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
         self.words, self.prefixes = words, prefixes
-        self.memo = Memo(self._row, 500_000)
+        self.memo = Memo(self._row)
 
     def __reduce__(self):
         return Lexicon, (self.words, self.prefixes)
