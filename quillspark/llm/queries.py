@@ -63,7 +63,7 @@ QUERIES = {
 }
 
 _WORD = "[^\x20\x09-\x0D]+"
-_FLOORS = rules.FLOORS
+_KEEP = rules.KEPT_BITS
 
 
 def _fence_sql(level: str) -> str:
@@ -71,8 +71,9 @@ def _fence_sql(level: str) -> str:
     by = f"{level}, " if level else ""
     part = f"PARTITION BY {by}metric"
     return (
-        f"(SELECT {by}metric, max(total) AS total, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) + 3 * (min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) - min(CASE WHEN 4 * upto >= total THEN bucket END)) AS fence "
-        f"FROM (SELECT {by}metric, bucket, sum(sum(n)) OVER ({part} ORDER BY bucket) AS upto, sum(sum(n)) OVER ({part}) AS total FROM sketch GROUP BY {by}metric, bucket) GROUP BY {by}metric)"
+        f"(SELECT {by}metric, total, q3 + (1 << greatest(length(bin(q3)) - {_KEEP}, 0)) + {rules.REACH} * (q3 + (1 << greatest(length(bin(q3)) - {_KEEP}, 0)) - q1) AS fence "
+        f"FROM (SELECT {by}metric, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 "
+        f"FROM (SELECT {by}metric, bucket, sum(sum(n)) OVER ({part} ORDER BY bucket) AS upto, sum(sum(n)) OVER ({part}) AS total FROM sketch GROUP BY {by}metric, bucket) GROUP BY {by}metric))"
     )
 
 
@@ -83,15 +84,14 @@ _RULES_SQL = (
     "r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1), (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id), "
     "m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, "
     "(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, "
-    "len(l)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper FROM s LEFT JOIN r USING (doc_id)), "
-    "f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate, "
-    "1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * n_upper // greatest(word_chars, 1) AS upper_rate, 100 * word_chars // greatest(n_words, 1) AS word_length FROM m), "
-    "u AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS metric, {k} AS x FROM f" for k in _FLOORS) + "), "
-    "sketch AS (SELECT lang, source, metric, CASE WHEN x < 32 THEN x ELSE (x >> (length(bin(x)) - 5)) << (length(bin(x)) - 5) END AS bucket, count(*) AS n FROM u WHERE NOT base_failed GROUP BY ALL), "
+    "(length(t) - length(regexp_replace(t, '[!-/:-@\\[-`{-~]', '', 'g')))::BIGINT AS n_marks, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper FROM s LEFT JOIN r USING (doc_id)), "
+    "f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * n_marks // greatest(word_chars, 1) AS mark_rate, "
+    "1000 * n_upper // greatest(word_chars, 1) AS upper_rate, 100 * word_chars // greatest(n_words, 1) AS word_length FROM m), "
+    "u AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS metric, {k} AS x FROM f" for k in rules.METRICS) + "), "
+    f"sketch AS (SELECT lang, source, metric, CASE WHEN x < {1 << _KEEP} THEN x ELSE (x >> (length(bin(x)) - {_KEEP})) << (length(bin(x)) - {_KEEP}) END AS bucket, count(*) AS n FROM u WHERE NOT base_failed GROUP BY ALL), "
     f"own AS {_fence_sql('lang, source')}, by_lang AS {_fence_sql('lang')}, every AS {_fence_sql('')}, "
-    "limits AS (SELECT o.lang, o.source, o.metric, greatest(CASE WHEN o.total >= 50 THEN o.fence WHEN g.total >= 50 THEN g.fence ELSE a.fence END, CASE o.metric "
-    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _FLOORS.items())
-    + " END) AS most FROM own o JOIN by_lang g ON o.lang IS NOT DISTINCT FROM g.lang AND o.metric = g.metric JOIN every a ON a.metric = o.metric), "
+    f"limits AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= {rules.LEAST_GROUP} THEN o.fence WHEN g.total >= {rules.LEAST_GROUP} THEN g.fence ELSE a.fence END AS most "
+    "FROM own o JOIN by_lang g ON o.lang IS NOT DISTINCT FROM g.lang AND o.metric = g.metric JOIN every a ON a.metric = o.metric), "
     "bad AS (SELECT DISTINCT doc_id FROM u JOIN limits q ON u.lang IS NOT DISTINCT FROM q.lang AND u.source IS NOT DISTINCT FROM q.source AND u.metric = q.metric WHERE x > most) "
     "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"
 )

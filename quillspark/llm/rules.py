@@ -1,10 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Fixed rules come first (length, repetition). The other cutoffs are fences over each language and source: upper quartile
-plus three times the distance of the quartiles, from sketches of the metrics' distributions. A sketch is a table of
-counts by bucket, each bucket within 1/16 of its values (exact below 32), so sketches of parts merge by addition: those
-of a source's documents are combined before the shuffle, and sum to those of a language and of all. A group with few
-documents takes the sketch of its language, or of all.
+Fixed rules come first (length, repetition). All other cutoffs are fences over each language and source: the upper
+quartile plus REACH times the distance of the quartiles, from sketches of the metrics' distributions; there is no fixed
+cutoff beside them. A quartile is known within its bucket, so the distance is taken between the buckets' outer ends and
+is never zero. The metrics are those that vary among ordinary texts (punctuation, upper case, length of words); shares
+that are zero in most texts have no quartiles to speak of and are left to the fixed rules.
+
+A sketch is a table of counts by bucket, each bucket within 1/64 of its values (exact below 128), so sketches of parts
+merge by addition: those of a source's documents are combined before the shuffle, and sum to those of a language and of
+all. A group with few documents takes the sketch of its language, or of all.
 """
 
 from __future__ import annotations
@@ -17,12 +21,16 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 MIN_WORDS = 50
-#: metric: the least its fence can be.
-FLOORS = {"symbol_rate": 30, "dup_line_rate": 600, "repeat_rate": 400, "upper_rate": 400, "word_length": 1200}
+METRICS = ("mark_rate", "upper_rate", "word_length")
+#: How many distances of the quartiles a fence lies above the upper one.
+REACH = 6
+#: Leading bits that tell buckets apart.
+KEPT_BITS = 7
 LEAST_GROUP = 50
 WIDE = 10_000
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -71,14 +79,15 @@ def measures(text: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words"))
 
     def of_lines(x: Column) -> Column:
-        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+        return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
     words = let(F.filter(F.split(t, "[ \\t-\\r]+"), lambda x: x != ""), of_words)
     return F.struct(
         words.alias("w"),
-        let(lines, of_lines).alias("l"),
+        let(lines, of_lines).alias("n_dup_lines"),
         _without(t, _SPACES).cast("long").alias("word_chars"),
         (F.char_length(t) - _without(t, _SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.char_length(t) - _without(t, _MARKS)).cast("long").alias("n_marks"),
         (F.char_length(t) - _without(t, _UPPER)).cast("long").alias("n_upper"),
     )
 
@@ -86,9 +95,7 @@ def measures(text: Column) -> Column:
 def _metrics() -> dict[str, Column]:
     per = lambda a, b, k: F.floor(F.lit(k) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     return {
-        "symbol_rate": per("n_symbols", "word_chars", 1000),
-        "dup_line_rate": per("n_dup_lines", "n_lines", 1000),
-        "repeat_rate": per("n_repeat_words", "n_words", 1000),
+        "mark_rate": per("n_marks", "word_chars", 1000),
         "upper_rate": per("n_upper", "word_chars", 1000),
         "word_length": per("word_chars", "n_words", 100),
     }
@@ -97,8 +104,8 @@ def _metrics() -> dict[str, Column]:
 def _flat(df: DataFrame, m: str) -> dict[str, Column]:
     c = F.col(m)
     return {
-        "n_words": c["w"]["n_words"], "word_chars": c["word_chars"], "n_symbols": c["n_symbols"], "n_dup_lines": c["l"]["n_dup_lines"],
-        "n_repeat_words": c["w"]["n_repeat_words"], "n_lines": c["l"]["n_lines"], "n_upper": c["n_upper"],
+        "n_words": c["w"]["n_words"], "word_chars": c["word_chars"], "n_symbols": c["n_symbols"], "n_dup_lines": c["n_dup_lines"],
+        "n_repeat_words": c["w"]["n_repeat_words"], "n_marks": c["n_marks"], "n_upper": c["n_upper"],
     }
 
 
@@ -107,14 +114,20 @@ def _base_failed() -> Column:
 
 
 def bucket(x: Column) -> Column:
-    """The lowest value of x's bucket: x below 32, else x with all but its five leading bits cleared."""
-    s = F.length(F.bin(x)) - 5
-    return F.when(x < 32, x).otherwise(F.call_function("shiftleft", F.call_function("shiftright", x, s), s))
+    """The lowest value of x's bucket: x below 128, else x with all but its KEPT_BITS leading bits cleared."""
+    s = F.length(F.bin(x)) - KEPT_BITS
+    return F.when(x < 1 << KEPT_BITS, x).otherwise(F.call_function("shiftleft", F.call_function("shiftright", x, s), s))
+
+
+def bucket_end(low: Column) -> Column:
+    """The lowest value beyond a bucket."""
+    s = F.greatest(F.length(F.bin(low)) - KEPT_BITS, F.lit(0)).cast("int")
+    return low + F.call_function("shiftleft", F.lit(1).cast("long"), s)
 
 
 def sketches(features: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) of the rows that pass the fixed rules."""
-    every = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(k)).alias("bucket")) for k in FLOORS]))
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(k)).alias("bucket")) for k in METRICS]))
     ok = features.where(~F.col("base_failed")).select("lang", "source", every.alias("m"))
     return ok.groupBy("lang", "source", F.col("m.metric").alias("metric"), F.col("m.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -126,7 +139,8 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     c = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
     q = c.groupBy(*by, "metric").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
-    return q.select(*by, "metric", "total", (F.col("q3") + 3 * (F.col("q3") - F.col("q1"))).alias("fence"))
+    end = bucket_end(F.col("q3"))
+    return q.select(*by, "metric", "total", (end + REACH * (end - F.col("q1"))).alias("fence"))
 
 
 def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -138,18 +152,18 @@ def thresholds(sketch: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     j = o.join(g, (F.col("o.lang").eqNullSafe(F.col("g.lang"))) & (F.col("o.metric") == F.col("g.metric"))).join(a, F.col("o.metric") == F.col("a.metric"))
     fence = F.when(F.col("o.k.total") >= least_group, F.col("o.k.fence")).when(F.col("g.k.total") >= least_group, F.col("g.k.fence")).otherwise(F.col("a.k.fence"))
     j = j.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.metric").alias("metric"), fence.alias("fence"))
-    cols = [F.max(F.when(F.col("metric") == m, F.greatest(F.col("fence"), F.lit(low)))).alias(f"max_{m}") for m, low in FLOORS.items()]
+    cols = [F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"max_{m}") for m in METRICS]
     return j.groupBy("lang", "source").agg(*cols)
 
 
 def _judged(features: DataFrame, least_group: int) -> DataFrame:
     limits = materialize(thresholds(sketches(features), least_group), "fences")
-    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{m}" for m in FLOORS])
+    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{m}" for m in METRICS])
     if limits.limit(WIDE + 1).count() <= WIDE:  # beyond, Spark joins as it sees fit
         limits = F.broadcast(limits)
     out = features.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     inside = F.lit(True)
-    for m in FLOORS:
+    for m in METRICS:
         inside = inside & (F.col(m) <= F.coalesce(F.col(f"max_{m}"), F.lit(1 << 40)))
     return out.withColumn("kept", ~F.col("base_failed") & inside)
 

@@ -459,20 +459,43 @@ def test_rules(docs, empty):
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id in {x.doc_id for x in out.where("kept").collect()})
 
 
+def brute_fences(rows):
+    """Fences of (lang, source, metric values) rows by sorting; small groups take those of their language, or of all."""
+    out = {}
+    size = lambda v: 1 << max(v.bit_length() - rules.KEPT_BITS, 0)
+    for k in range(len(rules.METRICS)):
+        for lang, source in {r[:2] for r in rows}:
+            levels = ([r[2][k] for r in rows if r[:2] == (lang, source)], [r[2][k] for r in rows if r[0] == lang], [r[2][k] for r in rows])
+            own = sorted(v // size(v) * size(v) for v in next((x for x in levels[:2] if len(x) >= rules.LEAST_GROUP), levels[2]))
+            q1, q3 = (next(v for i, v in enumerate(own, 1) if 4 * i >= p * len(own)) for p in (1, 3))
+            out[lang, source, k] = q3 + size(q3) + rules.REACH * (q3 + size(q3) - q1)
+    return out
+
+
 def test_adaptive_fences(spark):
-    """Fences against quartiles of the buckets by brute force."""
+    """Verdicts against fences by brute force; they differ by language and source, and decide."""
     rng = random.Random(14)
-    rows = [(i, " ".join(["plain"] * 0 + [f"w{rng.randrange(10**6)}" for _ in range(60)] + ["#"] * rng.randrange(8) + ["#" * 400] * (i % 97 == 0)), "en", "a" if i % 3 else "b") for i in range(400)]
+    rows = []
+    for i in range(700):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), ("de", "rare" if i % 20 == 0 else "c"), (None, None)])
+        marks = rng.randrange(4, 9) if source == "a" else rng.randrange(14, 30)  # one source's usual is the other's outlier
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 12 if lang == "de" else 8))) for _ in range(60)]
+        words += ["x" + "," * marks] + ["y%%%%%" * 4] * (40 if i % 23 == 0 else 0) + ["y;;;;;;;;"] * (8 if i % 31 == 0 else 0)
+        rows.append((i, " ".join(words), lang, source))
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = by_id(rules.judge(d), "n_symbols", "word_chars", "kept")
-    low = lambda v: v if v < 32 else v >> (v.bit_length() - 5) << (v.bit_length() - 5)
-    rate = {i: 1000 * got[i][0] // max(got[i][1], 1) for i, *_ in rows}
-    for s in "ab":
-        own = sorted(low(rate[i]) for i, _, _, x in rows if x == s)
-        q1, q3 = (next(v for k, v in enumerate(own, 1) if 4 * k >= p * len(own)) for p in (1, 3))
-        fence = max(q3 + 3 * (q3 - q1), rules.FLOORS["symbol_rate"])
-        assert all(got[i][2] is False for i, _, _, x in rows if x == s and rate[i] > fence)
-        assert np.mean([got[i][2] for i, _, _, x in rows if x == s and rate[i] <= fence]) > 0.9
+    got = by_id(rules.judge(d), "kept", "base_failed")
+    punct = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    measured = {}
+    for i, t, lang, source in rows:
+        n, chars = len(t.split()), sum(map(len, t.split()))
+        measured[i] = (lang, source, (1000 * sum(c in punct for c in t) // chars, 1000 * sum("A" <= c <= "Z" for c in t) // chars, 100 * chars // n))
+    fences = brute_fences([m for i, m in measured.items() if not got[i][1]])
+    for i, m in measured.items():
+        assert got[i][0] == (not got[i][1] and all(v <= fences[m[0], m[1], k] for k, v in enumerate(m[2]))), i
+    assert len({v for (_, _, k), v in fences.items() if k == 0}) > 3 and len({v for (_, _, k), v in fences.items() if k == 2}) > 2
+    mark = lambda i, s: measured[i][2][0] <= fences["en", s, 0]
+    own = [i for i in measured if measured[i][:2] == ("en", "a")]
+    assert any(mark(i, "b") and not mark(i, "a") for i in own) and 0 < sum(not got[i][0] for i in own) < len(own) / 4  # with the neighbour's fence these would stay
 
 
 def test_rules_are_native(docs):
