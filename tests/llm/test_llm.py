@@ -90,6 +90,63 @@ def test_extraction_keeps_all_blocks_of_an_article():
     assert extraction.main_text(box) == f"Before {w}\nA small box.\nAfter {w}"
 
 
+def words_of(pages):
+    """Words found and words wanted of held-out labelled pages."""
+    import html
+    from collections import Counter
+
+    for page, ranges in pages:
+        main = "".join(page[a:b] for a, b in ranges)
+        yield page, Counter(extraction.main_text(page).split()), Counter(html.unescape(re.sub("<[^>]*>", " ", main)).split())
+
+
+def test_extraction_of_held_out_pages(monkeypatch):
+    from quillspark.llm.labelled_pages import labelled
+
+    pages = list(labelled(150, 77))
+    found = list(words_of(pages))
+    both, got, want = (sum(sum(x.values()) for x in c) for c in ([f & w for _, f, w in found], [f for _, f, _ in found], [w for _, _, w in found]))
+    assert both / got > 0.97 and both / want > 0.99
+    for page, _ in pages[:40]:  # the whole operator against all regions, one by one
+        p, m = extraction.Page(page), extraction.model()
+        kinds = extraction.tokens_of(p, m.furniture(p))
+        upto = np.cumsum([0.0, *(0.0 if not k else m.weight(k) * (1 if isinstance(x, int) else x.words) for x, k in zip(p.items, kinds))])
+        gain = np.triu(upto[None, :] - upto[:, None], 1)
+        a, b = extraction.best_region(np.diff(upto).tolist())
+        assert gain[a, b] == pytest.approx(gain.max())
+        blocks = {x.block for x in p.items[a:b] if not isinstance(x, int)}
+        lines = {}
+        for x, k in zip(p.items, kinds):
+            if k and not isinstance(x, int) and min(blocks) <= x.block <= max(blocks):
+                lines[x.block] = lines.get(x.block, "") + x.text
+        body = "\n".join(t for t in (" ".join(v.split()) for v in lines.values()) if t)
+        assert extraction.main_text(page).endswith(body)
+    texts = [extraction.main_text(p) for p, _ in pages]
+    for instead in (lambda s: (0, len(s)), lambda s: next(((k, k + 1) for k, v in enumerate(s) if v > 0), (0, 0))):
+        monkeypatch.setattr(extraction, "best_region", instead)
+        assert sum(extraction.main_text(p) != t for (p, _), t in zip(pages, texts)) > 50  # the scan decides
+
+
+def test_extraction_of_odd_pages():
+    import time
+
+    for small, large in (("<div>" * 4000 + "</i>" * 4000, "<div>" * 32000 + "</i>" * 32000), ("<main>a " * 4000, "<main>a " * 32000), ("<a \"" * 4000, "<a \"" * 32000), ("<p class='" + "a-" * 9000 + "'>x", "<p class='" + "a-" * 72000 + "'>x")):
+        took = []
+        for p in (small, large):
+            began = time.process_time()
+            extraction.main_text(p)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.5  # eight times the page
+    t = extraction.main_text
+    assert t('<article class="post category-social tag-legal"><h1>T</h1><p>Some words in it.</p></article>') == "T\nSome words in it."
+    assert t('<main id="legal"><p>Some words in it.</p></main>') == "Some words in it."
+    assert t("<article><p>Name the <label>field</label> and press <button>go</button> now.</p></article>") == "Name the field and press go now."
+    assert t("<nav><a>x</a></nav><article><p>One article.</p></article><article><p>Two article.</p></article>") == "One article.\nTwo article."
+    board = '<div class="notice-board"><p>' + "Prose in a board of notices goes on. " * 3 + "</p></div>"
+    assert t(f"<article><p>Words before it.</p>{board}</article>").startswith("Words before it.\nProse in a board")
+    assert t("<p>same words</p>" + "<nav>x</nav><div>" * 9 + "<p>same words</p>") == "same words"  # equal sums: the first
+
+
 def test_best_region():
     rng = random.Random(1)
     for _ in range(200):
