@@ -4,7 +4,8 @@ The writer puts every page in a record of its own gzip member; tasks roll their
 manifest, so that only files of tasks that succeeded are ever read. Of records with equal payloads one is a response,
 the others are revisits that name it.
 
-The reader takes files one at a time through a window of bounded size. A record passes when its member inflates with
+The reader takes files one at a time through a window of bounded size, and holds of a record only its header and, where
+the payload is asked for, that. A record passes when its member inflates with
 the right checksum (or, in plain files, its length leads to the record's end), its header parses, and its digests
 match. After a failed check the reader searches on for the next valid member or version line, recovers what follows,
 and logs the bytes between as a quarantined gap.
@@ -31,7 +32,8 @@ from .arrow import small_batches
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _STEP = 1 << 20
-_MOST_HEADER = 1 << 16
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_END = b"\r\n\r\n"
 _ID = "urn:page:"
 MANIFEST = "path string, bytes long, records long"
 RECORDS = (
@@ -76,7 +78,9 @@ class Parsed:
     reason: str = ""
     headers: dict[str, str] = field(default_factory=dict)
     http: dict[str, str] = field(default_factory=dict)
-    payload: bytes = b""
+    payload: bytes | None = None  # None where it wasn't asked for
+    size: int = 0
+    sha: str = ""
 
 
 def _fields(lines: list[bytes]) -> dict[str, str]:
@@ -93,22 +97,48 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def _checked(out: Parsed, head: bytes, block: bytes) -> Parsed:
-    """The record of a header and a block, its digests checked."""
-    out.headers = _fields(head.split(b"\r\n")[1:])
-    if "warc-type" not in out.headers or "warc-record-id" not in out.headers:
-        return Parsed(out.stop, "header incomplete")
-    want = out.headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != digest(block):
-        return Parsed(out.stop, "block digest")
-    out.payload = block
-    if "application/http" in out.headers.get("content-type", ""):
-        top, _, out.payload = block.partition(b"\r\n\r\n")
-        out.http = _fields(top.split(b"\r\n")[1:])
-    want = out.headers.get("warc-payload-digest", "")
-    if out.headers["warc-type"] == "response" and want.startswith("sha1:") and want[5:] != digest(out.payload):
-        return Parsed(out.stop, "payload digest")
-    return out
+class Body:
+    """A record's block as it comes in: its digest, its HTTP header, and the payload's size and digest."""
+
+    def __init__(self, headers: dict[str, str], keep: bool):
+        self.keep, self.block, self.payload = keep, hashlib.sha1(), hashlib.sha1()
+        self.size, self.parts = 0, []
+        self.head: bytearray | None = bytearray() if "application/http" in headers.get("content-type", "") else None
+        self.http: dict[str, str] = {}
+
+    def feed(self, data: bytes) -> None:
+        self.block.update(data)
+        if self.head is not None:
+            seen = max(0, len(self.head) - 3)
+            self.head += data
+            end = self.head.find(_END, seen)
+            if end < 0:
+                return
+            data, self.http, self.head = bytes(self.head[end + 4 :]), _fields(bytes(self.head[:end]).split(b"\r\n")[1:]), None
+        self.payload.update(data)
+        self.size += len(data)
+        if self.keep:
+            self.parts.append(data)
+
+    def checked(self, headers: dict[str, str], stop: int, at: int) -> Parsed:
+        """The record, if its digests are right. A block without the end of an HTTP header has an empty payload."""
+        name = lambda h: base64.b32encode(h.digest()).decode()
+        want = headers.get("warc-block-digest", "")
+        if want.startswith("sha1:") and want[5:] != name(self.block):
+            return Parsed(at, "block digest")
+        want = headers.get("warc-payload-digest", "")
+        if headers["warc-type"] == "response" and want.startswith("sha1:") and want[5:] != name(self.payload):
+            return Parsed(at, "payload digest")
+        return Parsed(stop, "", headers, self.http, b"".join(self.parts) if self.keep else None, self.size, name(self.payload))
+
+
+def _headers(head: bytes) -> dict[str, str] | None:
+    """A record's header fields, None if those that every record has are missing or a line is no field."""
+    lines = head.split(b"\r\n")[1:]
+    if not all(b":" in x or x[:1] in (b" ", b"\t") for x in lines):
+        return None
+    out = _fields(lines)
+    return out if "warc-type" in out and "warc-record-id" in out else None
 
 
 def _length(head: bytes) -> int:
@@ -121,6 +151,7 @@ class Source:
 
     def __init__(self, f, size: int):
         self.f, self.size, self.at, self.window = f, size, 0, b""
+        self.searched = (1, 0, -1)  # what head_end() found last: from, to, result
 
     def get(self, start: int, n: int) -> bytes:
         n = max(0, min(n, self.size - start))
@@ -129,31 +160,58 @@ class Source:
             self.at, self.window = start, self.f.read(max(n, _STEP))
         return self.window[start - self.at : start - self.at + n]
 
+    def head_end(self, at: int) -> int:
+        """Where the header that begins here ends; -1 if the file ends or a control character comes before."""
+        first, last, found = self.searched
+        if first <= at <= last:
+            return found
+        p, found = at, -1
+        while p < self.size:
+            data = self.get(p, _STEP)
+            end = data.find(_END)
+            bad = _CONTROL.search(data, 0, end if end >= 0 else len(data))
+            if end >= 0 or bad:
+                found = -1 if bad else p + end
+                p += bad.start() if bad else end
+                break
+            p += max(1, len(data) - 3)
+        self.searched = (at, p, found)
+        return found
+
 
-def parse_plain(src: Source, at: int) -> Parsed:
+def parse_plain(src: Source, at: int, keep: bool = True) -> Parsed:
     """The uncompressed record at a place."""
-    head = src.get(at, 4096)
-    if not _VERSION.match(head):
+    if not _VERSION.match(src.get(at, 16)):
         return Parsed(at, "no version line")
-    if b"\r\n\r\n" not in head:
-        head = src.get(at, _MOST_HEADER)
-    head, end, _ = head.partition(b"\r\n\r\n")
+    near = src.get(at + 10, 4096)
+    again = _VERSION.search(near)
+    if again and _END not in near[: again.start()]:
+        return Parsed(at, "header")  # another record begins in it
+    end = src.head_end(at)
+    head = src.get(at, end - at) if end >= 0 else b""
     n = _length(head)
-    if not end or n < 0:
+    if end < 0 or n < 0:
         return Parsed(at, "header")
-    first = at + len(head) + 4
+    first = end + 4
     if first + n > src.size:
         return Parsed(at, "cut off")
-    if src.get(first + n, 4) != b"\r\n\r\n":
+    if src.get(first + n, 4) != _END:
         return Parsed(at, "length")
-    return _checked(Parsed(first + n + 4), head, src.get(first, n))
+    headers = _headers(head)
+    if headers is None:
+        return Parsed(at, "header incomplete")
+    body = Body(headers, keep)
+    for p in range(first, first + n, _STEP):
+        body.feed(src.get(p, min(_STEP, first + n - p)))
+    return body.checked(headers, first + n + 4, at)
 
 
-def parse_member(src: Source, at: int, most_bytes: int) -> Parsed:
-    """The record in the gzip member at a place."""
+def parse_member(src: Source, at: int, keep: bool = True) -> Parsed:
+    """The record in the gzip member at a place. No more of it is unpacked than its header announces."""
     if src.get(at, 3) != _MEMBER:
         return Parsed(at, "no member")
-    z, parts, total, p = zlib.decompressobj(31), [], 0, at
+    z, p = zlib.decompressobj(31), at
+    head, body, headers, left, tail = bytearray(), None, None, 0, b""
     try:
         while not z.eof:
             raw = z.unconsumed_tail or src.get(p, 1 << 16)
@@ -161,29 +219,41 @@ def parse_member(src: Source, at: int, most_bytes: int) -> Parsed:
                 return Parsed(at, "cut off")
             if not z.unconsumed_tail:
                 p += len(raw)
-            parts.append(z.decompress(raw, 1 << 22))
-            total += len(parts[-1])
-            if len(parts) == 1 and total >= 10 and not _VERSION.match(parts[0]):
-                return Parsed(at, "no version line")
-            if total > most_bytes:
-                return Parsed(at, "too long")
+            data = z.decompress(raw, 1 << 20)
+            if body is None:
+                seen = max(0, len(head) - 3)
+                head += data
+                if len(head) >= 10 and not _VERSION.match(head):
+                    return Parsed(at, "no version line")
+                end = head.find(_END, seen)
+                if _CONTROL.search(head, seen, end if end >= 0 else len(head)):
+                    return Parsed(at, "record in member")
+                if end < 0:
+                    continue
+                data, top = bytes(head[end + 4 :]), bytes(head[:end])
+                left, headers = _length(top), _headers(top)
+                if left < 0 or headers is None:
+                    return Parsed(at, "record in member" if left < 0 else "header incomplete")
+                body, head = Body(headers, keep), bytearray()
+            body.feed(data[:left])
+            tail += data[left:]
+            left -= min(left, len(data))
+            if len(tail) > 4:
+                return Parsed(at, "record in member")
     except zlib.error as e:
         return Parsed(at, f"member: {str(e)[:60]}")
-    data, stop = b"".join(parts), p - len(z.unused_data)
-    head, end, rest = data.partition(b"\r\n\r\n")
-    n = _length(head)
-    if not _VERSION.match(data) or not end or n < 0 or len(rest) < n or rest[n:] not in (b"\r\n\r\n", b""):
+    if body is None or left or tail not in (_END, b""):
         return Parsed(at, "record in member")
-    return _checked(Parsed(stop), head, rest[:n])
+    return body.checked(headers, p - len(z.unused_data), at)
 
 
-def salvage(src: Source, most_bytes: int = 1 << 30) -> Iterator[tuple[int, int, Parsed]]:
+def salvage(src: Source, keep: bool = True) -> Iterator[tuple[int, int, Parsed]]:
     """(start, stop, record or failure) over a file, compressed, plain or mixed; failures are the quarantined gaps."""
     at = 0
 
     def parse(p: int) -> Parsed:
         first = src.get(p, 3)
-        return parse_member(src, p, most_bytes) if first == _MEMBER else parse_plain(src, p)
+        return parse_member(src, p, keep) if first == _MEMBER else parse_plain(src, p, keep)
 
     def candidates(p: int) -> Iterator[int]:
         while p < src.size:
@@ -277,7 +347,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, most_file: int =
     ship(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     old = originals(p, least_bytes).withColumnRenamed("page_id", "of")
-    rows = p.join(old, (F.col("page_id") == F.col("of")) & (F.sha1(_payload()) == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
+    known = p.where("page_id is not null")  # those without an id refer to none and needn't meet in one task
+    rows = known.join(old, (F.col("page_id") == F.col("of")) & (F.sha1(_payload()) == F.col("d")), "left").select("page_id", "url", "html", "refers_to")
+    rows = rows.unionByName(p.where("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))
     return materialize(rows.mapInArrow(_write_task(folder, most_file), MANIFEST), "manifest")
 
 
@@ -290,9 +362,10 @@ def _read_task(with_payload: bool) -> Callable:
             return (path, start, stop, "gap", *[None] * 6, got.reason, None)
         h, bare = got.headers, lambda x: x.strip("<>") if x else None
         revisit = h["warc-type"] == "revisit"
-        size = int(got.http.get("content-length", 0)) if revisit else len(got.payload)
-        sha = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else digest(got.payload)
-        return path, start, stop, "record", bare(h["warc-record-id"]), h["warc-type"], bare(h.get("warc-refers-to")), h.get("warc-target-uri"), size, sha, None, got.payload if with_payload else None
+        told = got.http.get("content-length", "")
+        size = (int(told) if re.fullmatch("[0-9]{1,18}", told) else None) if revisit else got.size
+        sha = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else got.sha
+        return path, start, stop, "record", bare(h["warc-record-id"]), h["warc-type"], bare(h.get("warc-refers-to")), h.get("warc-target-uri"), size, sha, None, got.payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,8 +373,13 @@ def _read_task(with_payload: bool) -> Callable:
                 fs, name = _file_system(path)
                 held, size = [], 0
                 out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                with fs.open_input_file(name) as f:
-                    for x in salvage(Source(f, f.size())):
+                try:
+                    f = fs.open_input_file(name)
+                except FileNotFoundError:  # other faults may pass, and the task is run again
+                    yield out([row(path, 0, 0, Parsed(0, "no such file"))])
+                    continue
+                with f:
+                    for x in salvage(Source(f, f.size()), with_payload):
                         held.append(row(path, *x))
                         size += len(held[-1][-1] or b"")
                         if size > 4 << 20 or len(held) >= 4096:
@@ -313,16 +391,21 @@ def _read_task(with_payload: bool) -> Callable:
     return run
 
 
-def read(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of archives (column path), a task for each file where there are enough.
+def read(files: DataFrame, with_payload: bool = True, files_a_task: int = 4) -> DataFrame:
+    """Records and gaps of archives (column path), a task for every few files; their number decides, not the manifest's
+    bytes.
 
     kind is "record" or "gap" (quarantined bytes from start to stop, with the reason of the first failed check). An
-    empty file gives no rows; a file that is no archive at all is one gap. Repeated paths are read once.
+    empty file gives no rows; a file that is no archive at all is one gap, and so is one that doesn't exist. A revisit
+    whose HTTP header has no length that can be read has a null payload_bytes. Repeated paths are read once. A record
+    may have any length; where payloads are asked for, a row holds one.
     """
     spark: SparkSession = files.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path").distinct().repartition(n, "path").mapInArrow(_read_task(with_payload), RECORDS)
+    paths = materialize(files.select("path").distinct(), "paths")
+    n = paths.count()
+    tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // files_a_task)))
+    return paths.repartition(tasks).mapInArrow(_read_task(with_payload), RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -206,6 +206,40 @@ def test_warc_salvage(spark, tmp_path, packed):
     assert [(r.kind, r.stop) for r in got if r.path.endswith("c.warc")] == [("gap", 1900)] and not any(r.path.endswith("b.warc") for r in got)
 
 
+def test_warc_of_odd_files(spark, tmp_path):
+    long_head = warc.record(1, "u", b"x").replace(b"\r\nWARC-Date", b"\r\nX-Long: " + b"y" * (3 << 20) + b"\r\nWARC-Date", 1)
+    odd = warc.record(2, "u", b"x", 1, warc.digest(b"x"))
+    block = odd.split(b"\r\n\r\n", 1)[1][:-4]
+    new = block.replace(b"Content-Length: 1", b"Content-Length: abc")
+    odd = odd.replace(block, new).replace(warc.digest(block).encode(), warc.digest(new).encode()).replace(b"Content-Length: %d\r\n" % len(block), b"Content-Length: %d\r\n" % len(new), 1)
+    big = bytes(random.Random(1).randrange(256) for _ in range(1000)) * 3000
+    versions = b"WARC/1.0\r\n" * 100_000  # begins of records that never end
+    files = {
+        "plain": long_head + odd + versions + warc.record(3, None, big), "packed": warc.member(long_head) + warc.member(odd) + warc.member(warc.record(3, None, big)),
+        "more": warc.member(warc.record(4, "u", b"y") + b"more than it says" * 10**6) + warc.member(warc.record(5, "u", b"z")),
+    }
+    for k, v in files.items():
+        (tmp_path / k).write_bytes(v)
+    f = spark.createDataFrame([(str(tmp_path / x),) for x in (*files, "missing")], "path string")
+    for payload in (True, False):
+        got = {}
+        for r in warc.read(f, payload).orderBy("path", "start").collect():
+            got.setdefault(r.path.rpartition("/")[2], []).append((r.kind, (r.record_id or "")[-1:], r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)))
+        kept = lambda x: x if payload else None
+        first, second, third = ("record", "1", 1, warc.digest(b"x"), kept(b"x")), ("record", "2", None, warc.digest(b"x"), kept(b"")), ("record", "3", len(big), warc.digest(big), kept(big))
+        assert got["packed"] == [first, second, third] and got["plain"][:2] == [first, second] and got["plain"][-1] == third
+        assert [x[0] for x in got["plain"]] == ["record", "record", "gap", "record"] and [x[:2] for x in got["more"]] == [("gap", ""), ("record", "5")]
+        assert got["missing"] == [("gap", "", None, None, None)]
+
+
+def test_warc_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(8):
+        (tmp_path / f"{i}.warc.gz").write_bytes(warc.member(warc.record(i, "u", b"x" * i)))
+    f = spark.createDataFrame([(str(tmp_path / f"{i}.warc.gz"),) for i in range(8)], "path string")
+    out = warc.read(f, False).withColumn("task", F.spark_partition_id())
+    assert out.count() == 8 and out.select("task").distinct().count() > 1
+
+
 # ---- 3, 4, 8
 
 
