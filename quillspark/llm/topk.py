@@ -6,8 +6,10 @@ over its components, the larger product with the block's two extremes. A query v
 descending order of bounds and scores whole blocks until the next bound is below its kth score so far.
 
 Blocks belong to parts (ranges of at most PART_BLOCKS blocks). Every query is scored against its own part first; its
-kth score there is the threshold that it takes to the other parts. Queries travel, in chunks, to the parts; each part
-sends k candidates for a query at most.
+kth score there is the threshold that it takes to the other parts. A table of the parts' extremes, PARTS_A_ROW to a row,
+bounds every query's score in each part, and a query travels to those parts alone whose bound reaches its threshold.
+Chunks of queries meet the rows of that table, of which there are few: one for 16 million vectors. Each part sends k
+candidates for a query at most.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..runtime import materialize, ship
 
 BLOCK = 256
 PART_BLOCKS = 64
+PARTS_A_ROW = 1024
 CHUNK = 256  # queries that travel together
 _BLOCKS = "part long, kind int, size int, dim int, ids binary, matrix binary, high binary, low binary"
 _FOUND = "query_id long, vec_id long, score long"
@@ -45,7 +48,7 @@ def _padded(lists: list[np.ndarray], dim: int) -> np.ndarray:
     return out
 
 
-def _index_task(every: int) -> Callable:
+def _index_task(every: int, block: int, part_blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -64,7 +67,7 @@ def _index_task(every: int) -> Callable:
 
         def blocks(ids: list[int], vectors: list[np.ndarray], end: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made, last_query, waiting
-            part = task << 32 | made // PART_BLOCKS
+            part = task << 32 | made // part_blocks
             if ids:
                 yield row(0, part, ids, vectors)
                 for i, v in zip(ids, vectors, strict=True):
@@ -73,7 +76,7 @@ def _index_task(every: int) -> Callable:
                         waiting[1].append(v)
                         last_query = i
                 made += 1
-            if waiting[0] and (end or len(waiting[0]) >= CHUNK or made % PART_BLOCKS == 0):
+            if waiting[0] and (end or len(waiting[0]) >= CHUNK or made % part_blocks == 0):
                 yield row(1, part, *waiting)
                 waiting = ([], [])
 
@@ -85,7 +88,7 @@ def _index_task(every: int) -> Callable:
             for k, i in enumerate(b.column("vec_id").to_pylist()):
                 ids.append(i)
                 vectors.append(flat[at[k] : at[k + 1]])
-                if len(ids) == BLOCK:
+                if len(ids) == block:
                     yield from blocks(ids, vectors, False)
                     ids, vectors = [], []
         yield from blocks(ids, vectors, True)
@@ -93,25 +96,32 @@ def _index_task(every: int) -> Callable:
     return run
 
 
-class Block:
-    """A block's forward index and its components' extremes."""
+class Bounds:
+    """The extremes of each component over some vectors."""
 
-    def __init__(self, size: int, dim: int, ids: bytes, matrix: bytes, high: bytes, low: bytes):
-        self.ids, self.matrix = np.frombuffer(ids, np.int64), np.frombuffer(matrix).reshape(size, dim)
-        self.high, self.low = np.frombuffer(high), np.frombuffer(low)
-        self.most = float(np.abs(self.matrix).max(initial=0))
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.high, self.low = high, low
+        self.most = float(max(np.abs(high).max(initial=0), np.abs(low).max(initial=0)))
 
     def exact(self, q: np.ndarray) -> bool:
         """Whether all sums with q are exact in doubles."""
         return self.most * float(np.abs(q).max(initial=0)) * max(len(q), 1) < _EXACT
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """At least the score of each query (row) with any vector of the block."""
+        """At least the score of each query (row) with any of the vectors."""
         n = min(q.shape[1], len(self.high))
         x = q[:, :n]
         out = np.maximum(x, 0) @ self.high[:n] + np.minimum(x, 0) @ self.low[:n]
         return out if self.exact(q) else np.full(len(q), np.inf)
 
+
+class Block(Bounds):
+    """A block's forward index and its components' extremes."""
+
+    def __init__(self, size: int, dim: int, ids: bytes, matrix: bytes, high: bytes, low: bytes):
+        super().__init__(np.frombuffer(high), np.frombuffer(low))
+        self.ids, self.matrix = np.frombuffer(ids, np.int64), np.frombuffer(matrix).reshape(size, dim)
+
     def scores(self, q: np.ndarray) -> np.ndarray:
         """Scores of the queries (rows) with the block's vectors (columns); wrapped to 64 bits if beyond them."""
         n = min(q.shape[1], self.matrix.shape[1])
@@ -181,7 +191,65 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def extremes(index: DataFrame) -> DataFrame:
+    """(part, dim, high, low) of the parts of an index; a part has PART_BLOCKS blocks at most."""
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        dim = max(t["dim"].to_pylist())
+        wide = lambda c: _padded([np.frombuffer(x) for x in t[c].to_pylist()], dim)
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "high": [wide("high").max(axis=0).tobytes()], "low": [wide("low").min(axis=0).tobytes()]})
+
+    return index.where("kind = 0").select("part", "dim", "high", "low").groupBy("part").applyInArrow(run, "part long, dim int, high binary, low binary")
+
+
+_ROUTED = "part long, kind int, size int, dim int, ids binary, matrix binary, high binary, low binary, floors array<long>"
+
+
+def _route_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell come with its parts' extremes (kind 0) before the query chunks (kind 1): each chunk's queries by
+    the part, other than their own, whose bound reaches their floor."""
+    cell, parts = None, []
+    names = [x.split()[0] for x in _ROUTED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+    for b in batches:
+        for r in b.to_pylist():
+            if r["cell"] != cell:
+                cell, parts = r["cell"], []
+            if r["kind"] == 0:
+                parts += [(p["part"], Bounds(np.frombuffer(p["high"]), np.frombuffer(p["low"]))) for p in r["parts"]]
+                continue
+            ids, q = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"]).reshape(r["size"], r["dim"])
+            floors = np.array([-np.inf if x is None else float(x) for x in r["floors"]])
+            rows = []
+            for part, bound in parts:
+                if part != r["part"]:
+                    at = np.flatnonzero(bound.bounds(q) >= floors)
+                    if len(at):
+                        rows.append((part, 1, len(at), r["dim"], ids[at].tobytes(), q[at].tobytes(), b"", b"", [r["floors"][k] for k in at.tolist()]))
+                if len(rows) >= 64 or (rows and part == parts[-1][0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+
+
+def routed(extreme: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Query chunks (with floors) for the parts that they have to visit. Cells are rows of the parts' table by groups of
+    chunks, as many as there are shuffle partitions at least, so that few rows of parts don't mean few tasks."""
+    spark = chunks.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    extreme = materialize(extreme, "extremes")
+    rows = -(-extreme.count() // PARTS_A_ROW)
+    groups = max(1, n // max(1, rows))
+    packed = extreme.groupBy(F.pmod(F.xxhash64("part"), F.lit(max(1, rows))).alias("row")).agg(F.collect_list(F.struct("part", "high", "low")).alias("parts"))
+    each = lambda of, k: F.explode(F.sequence(F.lit(0), F.lit(max(1, k) - 1))).alias(of)
+    cell = (F.col("row") * groups + F.col("group")).alias("cell")
+    a = packed.select("row", each("group", groups), "parts").select(cell, F.lit(0).alias("kind"), "parts")
+    q = chunks.withColumn("group", F.pmod(F.xxhash64("part", "ids"), F.lit(groups))).select("*", each("row", rows))
+    fields = ("part", "size", "dim", "ids", "matrix", "floors")
+    both = a.unionByName(q.select(cell, F.lit(1).alias("kind"), *fields), allowMissingColumns=True)
+    return both.repartition(n, "cell").sortWithinPartitions("cell", "kind").mapInArrow(_route_task, _ROUTED)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, part_blocks: int = PART_BLOCKS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose vec_id is divisible by `every`, over all other ids.
 
     Rows with null or non-finite components or a null id take no part. Shorter vectors count as padded with zeros.
@@ -193,23 +261,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = integers(vectors)
-    index = v.repartitionByRange(n, "vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_index_task(every), _BLOCKS)
+    index = v.repartitionByRange(n, "vec_id").sortWithinPartitions("vec_id", "v").mapInArrow(_index_task(every, block, part_blocks), _BLOCKS)
     index = materialize(index, "blocks")
-    parts = sorted(r[0] for r in index.where("kind = 0").select("part").distinct().collect())  # one for 16 k vectors
 
     def searched(blocks_and_queries: DataFrame) -> DataFrame:
         return blocks_and_queries.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_search_task(k), _FOUND)
 
     first = materialize(searched(index.withColumn("floors", F.lit(None).cast("array<long>"))), "own-part")
-    if len(parts) < 2:
-        return _ranked(first, k).select("query_id", "rank", "vec_id", "score")
     # the kth score of each query in its own part, back at its chunk
     kth = _ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     chunks = index.where("kind = 1").withColumn("chunk", F.xxhash64("part", "ids"))
     own = chunks.select("chunk", F.posexplode(_ids_of("ids")).alias("pos", "query_id")).join(kth, "query_id", "left")
     floors = own.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "floor"))), lambda x: x["floor"]).alias("floors"))
-    to = F.explode(F.filter(F.array(*[F.lit(p) for p in parts]).cast("array<long>"), lambda p: p != F.col("part"))).alias("to")
-    away = chunks.join(floors, "chunk").select(to, "*").drop("part", "chunk").withColumnRenamed("to", "part")
+    away = routed(extremes(index), chunks.join(floors, "chunk"))
     blocks = index.where("kind = 0").withColumn("floors", F.lit(None).cast("array<long>"))
     rest = searched(blocks.unionByName(away.select(*blocks.columns)))
     return _ranked(first.union(rest), k).select("query_id", "rank", "vec_id", "score")

@@ -512,6 +512,28 @@ def test_top_k(spark):
     assert [r.vec_id for r in twice] == sorted([2, 2, 4, 4], key=lambda i: (-int(x[i // 2] @ x[0]), i))
 
 
+def test_queries_visit_parts_that_can_hold_more(spark, monkeypatch):
+    """Clustered vectors: the same results as over all pairs, and few copies of queries."""
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(24, 6)) * 4
+    m = np.repeat(centres, 60, axis=0) + rng.normal(size=(1440, 6)) * 0.05
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>").coalesce(1)
+    made = []
+
+    plain = topk.routed
+    monkeypatch.setattr(topk, "routed", lambda e, c: made.append((topk.materialize(plain(e, c), "routed"), e.count(), c.agg(F.sum("size")).first()[0])) or made[-1][0])
+    got = {}
+    for r in topk.top_k(v, 5, 20, 30, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x = np.floor(256 * m).astype(np.int64)
+    for q in range(0, 1440, 20):
+        s = x @ x[q]
+        assert got[q] == [(int(j), int(s[j])) for j in np.lexsort((np.arange(1440), -s)) if j != q][:5]
+    away, parts, queries = made[0]
+    copies = away.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    assert parts >= 20 and queries == 72 and copies < queries * parts / 4
+
+
 def test_blocks_are_pruned():
     q = np.array([[10.0, 0.0]])
     blocks = [topk.Block(2, 2, np.array([2 * k, 2 * k + 1]).tobytes(), np.array([[k, 1.0], [k, 2.0]]).tobytes(), np.array([k, 2.0]).tobytes(), np.array([k, 1.0]).tobytes()) for k in range(20)]
