@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import packing, resampling, rules, simhash
-from quillspark.runtime import materialize, table
+from quillspark.runtime import made_so_far, materialize, release, remove_since, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote for itself goes once its result is written, and so does the result
+    before it.
+
+    Nulls, ties, repeated rows, empty tables and columns of any name are what the stages' operators say: null and empty
+    texts have too few words and go with the rules; rows that tie with the last key drawn stay; of repeated rows one is
+    left; an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        mark, before = made_so_far(), docs
+        docs = materialize(stage(spark, before, sf_dir), f"stage-{name}")
+        remove_since(mark, docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

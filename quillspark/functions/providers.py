@@ -98,3 +98,13 @@ def best_first(hits: DataFrame, score: Callable[[Column, Column], Column] = over
     """Hits (query_id, query, text, ...) reranked in each query: rank by score."""
     s = hits.withColumn("score", score(F.col("query"), F.col("text")))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
+def cited_answer(questions: DataFrame, hits: DataFrame, generate: Callable[[Column, Column], Column] = extract_answer) -> DataFrame:
+    """(query_id, context, answer): the answer to the original question in a line, and a line for each source of its
+    hits (query_id, rank, text, d2, source), each source once, in order of rank."""
+    named = hits.groupBy("query_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"])).alias("sources"))
+    q = questions.join(context(hits, with_source=True), "query_id", "left").join(named, "query_id", "left")
+    told = generate(F.col("query"), F.coalesce("context", F.lit("")))
+    cited = F.array_join(F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.concat(F.lit("\nSOURCE: "), s)), "")
+    return q.select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.concat(F.lit("Answer: "), told, cited).alias("answer"))

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import metrics
 from ..operators.analyze import SPACE
-from ..runtime import table
+from ..runtime import ship, table
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -23,7 +23,8 @@ def register(spark: SparkSession, sf_dir: str | None = None) -> None:
     )
     for f in made:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f}")
-    spark.udf.register("ts_bleu", lambda e, a: metrics.bleu((e or "").split(), (a or "").split()), "double")
-    spark.udf.register("ts_rouge_l", lambda e, a: metrics.rouge_l(metrics.rouge_words(e or ""), metrics.rouge_words(a or "")), "double")
+    ship(spark)
+    spark.udf.register("ts_bleu", metrics.bleu_udf())
+    spark.udf.register("ts_rouge_l", metrics.rouge_l_udf())
     for name in TABLES if sf_dir else ():
         table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -115,14 +115,29 @@ def rouge_l(reference: list[str], answer: list[str]) -> float:
     return _f1(row[-1], len(reference), len(answer))
 
 
-def bleu_score(expected: Column, answer: Column) -> Column:
-    """BLEU of white-space tokens; null counts as empty."""
+def bleu_udf():
+    """BLEU of white-space tokens as an Arrow-batched function; null counts as empty."""
 
     @F.pandas_udf("double")
     def score(e: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series([bleu((x or "").split(), (y or "").split()) for x, y in zip(e, a, strict=True)], dtype="float64")
 
-    return score(expected, answer)
+    return score
+
+
+def rouge_l_udf():
+    """ROUGE-L as an Arrow-batched function; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def score(e: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([rouge_l(rouge_words(x or ""), rouge_words(y or "")) for x, y in zip(e, a, strict=True)], dtype="float64")
+
+    return score
+
+
+def bleu_score(expected: Column, answer: Column) -> Column:
+    """BLEU of white-space tokens; null counts as empty."""
+    return bleu_udf()(expected, answer)
 
 
 def rouge_scores(expected: Column, answer: Column) -> Column:

@@ -17,8 +17,15 @@ def phrase_words(phrases: DataFrame, key: str = "qid", phrase: str = "phrase") -
 def search_fields(places: DataFrame, phrases: DataFrame, key: str = "qid", phrase: str = "phrase", doc: str = "doc_id") -> DataFrame:
     """(key, doc): documents of which a single field has all words of a phrase, anywhere. An empty phrase finds none."""
     wanted = phrase_words(phrases, key, phrase)
-    hit = places.select("field", "term", doc).join(wanted, "term").groupBy(key, "field", doc).agg(F.count_distinct("term").alias("has"), F.max("n").alias("n"))
-    return hit.where("has = n").select(key, doc).distinct()
+    known = places.select("field", "term", doc)
+    n_places = known.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("places"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("places", "term"))
+    ranked = wanted.join(n_places, "term").withColumn("r", place)
+    # the rarest word finds candidates; the others are looked up where those are
+    found = known.join(ranked.where("r = 1").select(key, "term", "n"), "term").select(key, "field", doc, "n").distinct()
+    rest = found.where("n > 1").join(ranked.where("r > 1").select(key, "term"), key)
+    has = rest.join(known, ["field", doc, "term"], "left_semi").groupBy(key, "field", doc).agg(F.count(F.lit(1)).alias("has"), F.max("n").alias("n"))
+    return found.where("n = 1").select(key, doc).union(has.where("has = n - 1").select(key, doc)).distinct()
 
 
 def first_corrections(corrections: DataFrame, places: DataFrame, most: int = 10) -> DataFrame:

@@ -27,9 +27,9 @@ def phonetic(word: Column, seed_first: bool = True) -> Column:
     code = F.translate(up, "BFPVCGJKQSXZDTLMNRAEIOUHWY", "11112222222233455600000000")
     code = F.regexp_replace(code, "[^0-6]", "0")
     if not seed_first:
-        code = F.concat(F.lit("0"), F.substring(code, 2, 1 << 20))
+        code = F.concat(F.lit("0"), F.substr(code, F.lit(2)))
     runs = F.regexp_replace(code, r"(.)\1+", "$1")
-    rest = F.translate(F.substring(runs, 2, 1 << 20), "0", "")
+    rest = F.translate(F.substr(runs, F.lit(2)), "0", "")
     return F.when(word == "", F.lit("")).otherwise(F.substring(F.concat(F.substring(up, 1, 1), rest, F.lit("000")), 1, 4))
 
 

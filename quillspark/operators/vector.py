@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 
+PART_ROWS = 100_000
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance, summed in doubles; null where the sizes differ."""
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -34,35 +37,46 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 7) -> DataFrame:
 def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int = 7, chunk: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, d2): the k nearest vectors (vec_id, embedding) to each query (query_id, embedding).
 
-    Chunks of queries meet partitions of the vectors, which are scored a batch at a time; a partition sends k rows for
-    a query.
+    Vectors of another size than a query's are no candidates of it; null ones and those with a null or no id take no part.
+    Chunks of queries meet partitions of at most PART_ROWS vectors or so, held as one matrix by size; a partition sends
+    k rows for a query.
     """
     spark = vectors.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    packed = queries.select(F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 40)) % F.greatest(F.lit(1), F.lit(queries.count() // chunk))).alias("c"), F.struct(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("q"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PART_ROWS))
+    whole = lambda e: F.col(e).isNotNull() & F.forall(e, lambda x: x.isNotNull())
+    v = vectors.where(F.col("vec_id").isNotNull() & whole("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    asked = queries.where(F.col("query_id").isNotNull() & whole("embedding"))
+    packed = asked.select(F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 40)) % F.greatest(F.lit(1), F.lit(queries.count() // chunk))).alias("c"), F.struct(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).alias("q"))
     chunks = materialize(packed.groupBy("c").agg(F.sort_array(F.collect_list("q")).alias("qs")), "queries")
     q = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), "qs")
     both = v.select("part", F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast(q.schema["qs"].dataType).alias("qs")).unionByName(q)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, ids, rows = None, [], []
+        part, held, made = None, {}, {}  # by size: ids and matrices as they come, then as one
+
+        def of_size(size: int) -> tuple[np.ndarray, np.ndarray]:
+            if size not in made:
+                ids, rows = held.get(size, ([], []))
+                made[size] = (np.concatenate(ids), np.concatenate(rows)) if ids else (np.zeros(0, np.int64), np.zeros((0, size)))
+            return made[size]
+
         for f in frames:
-            for p, kind, vec_id, e, qs in zip(f["part"], f["kind"], f["vec_id"], f["embedding"], f["qs"], strict=True):
+            for (p, kind), rows in f.groupby(["part", "kind"], sort=True):
                 if p != part:
-                    part, ids, rows = p, [], []
+                    part, held, made = p, {}, {}
                 if kind == 0:
-                    if e is not None:
-                        ids.append(int(vec_id))
-                        rows.append(np.asarray(e, float))
+                    for size, same in rows.groupby(rows["embedding"].map(len)):
+                        ids, ms = held.setdefault(size, ([], []))
+                        ids.append(same["vec_id"].to_numpy(np.int64))
+                        ms.append(np.array(same["embedding"].tolist(), float).reshape(len(same), size))
                     continue
                 got = [[], [], []]
-                at = np.array(ids, np.int64)
-                m = np.array(rows) if rows else np.zeros((0, 0))
-                for one in qs:
+                for one in (x for qs in rows["qs"] for x in qs):
                     x = np.asarray(one["e"], float)
-                    d = ((m - x) ** 2).sum(axis=1) if len(m) else np.zeros(0)
-                    for j in np.lexsort((at, d))[:k]:
+                    at, m = of_size(len(x))
+                    d = ((m - x) ** 2).sum(axis=1)
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    for j in near[np.lexsort((at[near], d[near]))[:k]]:
                         for c, value in zip(got, (one["id"], int(at[j]), float(d[j])), strict=True):
                             c.append(value)
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "d2"), got, strict=True)))

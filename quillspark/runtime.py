@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -41,9 +42,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. What is left there goes when the driver ends."""
+    path = f"{shared_root(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(lambda: remove_since(0))
+    _made.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +59,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -61,6 +71,28 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the table of materialize() that nothing will read any more."""
+    path = df.__dict__.get("_written_to")
+    if path:
+        remove_path(df.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
+
+
+def made_so_far() -> int:
+    """A mark for remove_since()."""
+    return len(_made)
+
+
+def remove_since(mark: int, *keep: DataFrame) -> None:
+    """Delete what was written to the shared folder since a mark, but for some tables."""
+    kept = {x.__dict__.get("_written_to") for x in keep}
+    for spark, path in _made[mark:]:
+        if path not in kept and spark.sparkContext._jsc is not None:
+            remove_path(spark, path)
+    _made[mark:] = [x for x in _made[mark:] if x[1] in kept]
+
+
 _shipped: set[str] = set()
 
 
