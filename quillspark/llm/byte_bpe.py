@@ -29,7 +29,7 @@ from .rules import let
 _SYMBOL, _PLACE = 1 << 17, 1 << 24
 _RANK = _SYMBOL * _PLACE
 NO_RANK = 1 << 16
-#: Words of more bytes are merged at all places of the lowest pair at once.
+#: Words of more bytes are merged at all places of the lowest pair at once, if the ranks allow it (in_order()).
 LONG_WORD = 1 << 14
 _BUCKETS = 65_521
 
@@ -102,6 +102,15 @@ def _bound(tables: Column, names: str, use) -> Column:
     return let(tables, lambda struct: bind(struct, names.split(), []))
 
 
+@lru_cache(maxsize=4)
+def in_order(path: str) -> bool:
+    """Whether every token comes after two others that make it. Then merging a pair makes no pair of a lower rank where
+    that pair's own parts weren't merged before, and all its places can be merged at once."""
+    ranks = ranks_of(path)
+    before = lambda part, r: len(part) == 1 or ranks.get(part, r) < r
+    return all(len(t) < 2 or any(before(t[:k], r) and before(t[k:], r) for k in range(1, len(t))) for t, r in ranks.items())
+
+
 @lru_cache(maxsize=4)
 def _pair_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
     """(displacements, table) of all pairs of tokens whose concatenation is a token: an entry is the pair and its rank."""
@@ -194,7 +203,7 @@ class Coder:
             some = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(s).cast("double"))))
             step = lambda acc, _: F.when(acc["m"] < none, let(everywhere(acc["s"]), with_least)).otherwise(acc)
             long = F.aggregate(some, with_least(s), lambda acc, _: F.when(acc["m"] < none, F.aggregate(some, acc, step)).otherwise(acc), lambda acc: acc["s"])
-            done = F.when(F.size(s) < 2, s).when(F.size(s) <= LONG_WORD, short).otherwise(long)
+            done = F.when(F.size(s) < 2, s).when(F.size(s) <= LONG_WORD, short).otherwise(long) if in_order(self.file) else F.when(F.size(s) < 2, s).otherwise(short)
             return F.array_join(F.transform(done, lambda x: sym(x).cast("string")), " ")
 
         return let(let(symbols, begin), out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 
 
 def _sign(e: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x != y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = materialize(small.union(low.select("x", F.col("m").alias("y"))).distinct(), "links")
+        old, e = e, materialize(small.union(low.select("x", F.col("m").alias("y"))).distinct(), "links")
+        release(old)
         was, sign = sign, _sign(e)
         if sign == was:
             return e

@@ -172,9 +172,9 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 24_000, most_words: int = 4_000) -> Model:
-    """A model from at most `most_labelled` labelled rows outside the held-out fold; the lexicons have at most
-    `most_words` entries each. Only counts, features and labels of those rows reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 24_000) -> Model:
+    """A model from at most `most_labelled` labelled rows outside the held-out fold, each id once; the lexicons hold what
+    five toxic ones among them share. Only counts, features and labels of those rows reach the driver."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).cast("int").alias("y")).where("doc_id is not null and y is not null")
     lab = lab.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(9)))
     rows = lab.orderBy("h", "doc_id").limit(most_labelled).collect()
@@ -182,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 24_000, most_wo
     spark = docs.sparkSession
     some = F.broadcast(spark.createDataFrame([(d, p, y) for d, (p, y) in part.items()], "doc_id long, part int, y int"))
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
+    t = t.groupBy("doc_id", "part", "y").agg(F.max("text").alias("text"))  # a repeated id counts once
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 24_000, most_wo
     sums = first.select("text", "y").mapInArrow(keys, "k string, pos long, neg long").groupBy("k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 5")
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)) - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     top = sums.withColumn("weight", odds).where("weight > 0.5")
-    words, prefixes = ({r.k[1:]: float(r.weight) for r in top.where(F.col("k").startswith(x)).orderBy(F.desc("weight"), "k").limit(most_words).collect()} for x in "wp")
+    words, prefixes = ({r.k[1:]: float(r.weight) for r in top.where(F.col("k").startswith(x)).collect()} for x in "wp")
     lexicon = Lexicon(words, prefixes)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
