@@ -87,9 +87,11 @@ class MergeTable:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols that survive in each word (int64 counts), and all of them, word after word. Words aren't empty."""
-        n = len(words)
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        return self.merge_flat(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def merge_flat(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that lie one after another in an array of bytes."""
+        n = len(sizes)
         symbols = self.first[raw]
         ends = np.cumsum(sizes)
         symbols[ends - 1] = self.last[raw[ends - 1]]

@@ -14,17 +14,17 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow import CACHE_BYTES, cache_of, enter, entry_bytes, small_batches, texts_of
+from .arrow import CACHE_BYTES, cache_of, enter, entry_bytes, small_batches
 from .merging import MergeTable
-from .pretokens import chunks_of, lower_words
+from .pretokens import lower_words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ID_BYTES = 4
@@ -150,18 +150,108 @@ class ChunkCoder(dict):
         self.held += sum(entry_bytes(c, self[c]) for c in missing)
 
 
-_coders: dict[str, ChunkCoder] = {}
+#: Kinds of bytes to the tokenizer's splitter; a chunk with an odd one is split as a string instead.
+_OTHER, _LETTER, _NUMBER, _ODD = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = _LETTER
+_KIND[[*b"0123456789"]] = _NUMBER
+_KIND[[*b"'", *range(128, 256)]] = _ODD
+_LOWER = np.array([*bytes(range(256)).lower()], np.uint8)
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of `pool` that begin at `starts`, one after another."""
+    ends = np.cumsum(counts)
+    return pool[np.repeat(starts - ends + counts, counts) + np.arange(int(counts.sum()))]
+
+
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the ranges between neighbouring offsets."""
+    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return upto[offsets[1:]] - upto[offsets[:-1]]
+
+
+class BatchCoder:
+    """Ids of whole batches of texts: each distinct chunk of a batch is split and merged once, in arrays.
+
+    ASCII chunks without an apostrophe are split by the kinds of their bytes; the others go to a ChunkCoder.
+    """
+
+    def __init__(self, tokenizer_file: str, part: int = 20_000):
+        self.odd, self.part = ChunkCoder(tokenizer_file), part
+        self.table = self.odd.table
+        self.special = "|".join(map(re.escape, self.table.specials))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, and each text's number of them; a null text has none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        pool, starts, counts = self._chunks(coded.dictionary)
+        chunk = coded.indices.to_numpy()
+        each = counts[chunk]
+        return gathered(pool, starts[chunk], each), _sums(each, lists.offsets.to_numpy())
+
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks: an array of ids, where each chunk's begin, and how many they are."""
+        n = len(chunks)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + n + 1].astype(np.int64)
+        data = chunks.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+        offsets -= offsets[0]
+        kind = _KIND[raw]
+        odd = _sums(kind == _ODD, offsets) > 0
+        if self.special:
+            odd |= pc.match_substring_regex(chunks, self.special).to_numpy(zero_copy_only=False)
+        sizes = np.diff(offsets)
+        plain = np.repeat(~odd, sizes)
+        pool, words = self._plain(_LOWER[raw[plain]], kind[plain], sizes[~odd])
+        counts, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        counts[~odd] = words
+        strange = chunks.filter(pa.array(odd)).to_pylist()
+        self.odd.fill(set(strange))
+        ids = [self.odd[c] for c in strange]
+        counts[odd] = [len(x) // ID_BYTES for x in ids]
+        for of in (~odd, odd):
+            starts[of] = np.cumsum(counts[of]) - counts[of]
+        starts[odd] += len(pool)
+        return np.concatenate([pool, np.frombuffer(b"".join(ids), "<u4")]), starts, counts
+
+    def _plain(self, raw: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of lower-case ASCII that lie one after another, and how many each has."""
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        begins = kind == _NUMBER  # every digit is a word
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[offsets[:-1][sizes > 0]] = True
+        at = np.append(np.flatnonzero(begins), len(raw)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw)).dictionary_encode()
+        ids, lengths = [], []
+        for i in range(0, len(words.dictionary), self.part):
+            part = words.dictionary[i : i + self.part]
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            count, some = self.table.merge_flat(np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64))
+            ids.append(some.astype(np.uint32))
+            lengths.append(count)
+        length, word = np.concatenate(lengths), words.indices.to_numpy()
+        each = length[word]
+        return gathered(np.concatenate(ids), (np.cumsum(length) - length)[word], each), _sums(each, np.concatenate([[0], np.cumsum(begins)])[offsets])
+
+
+_coders: dict[str, BatchCoder] = {}
 cache_of("packing", _coders.clear)
 
 
-def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: int):
+def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: int, batch_bytes: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enter("packing")
         part = TaskContext.get().partitionId()
         if tokenizer_file not in _coders:
-            _coders[tokenizer_file] = ChunkCoder(tokenizer_file)
+            _coders[tokenizer_file] = BatchCoder(tokenizer_file)
         coder, end = _coders[tokenizer_file], int(end_id).to_bytes(ID_BYTES, "little")
         held: list[tuple[int, bytes]] = []
         tokens, next_id = 0, part << 40
@@ -209,11 +299,12 @@ def _pack_task(tokenizer_file: str, end_id: int, capacity: int, window_tokens: i
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-        for b in small_batches(batches, "text"):
-            chunked = [chunks_of(t) for t in texts_of(b.column("text"))]
-            coder.fill(set(chain.from_iterable(chunked)))
-            for doc, chunks in zip(b.column("doc_id").to_pylist(), chunked, strict=True):
-                ids = b"".join([coder[c] for c in chunks]) + end
+        for b in small_batches(batches, "text", batch_bytes):
+            coded, counts = coder.encode(b.column("text"))
+            raw, at = coded.astype("<u4").tobytes(), 0
+            for doc, n in zip(b.column("doc_id").to_pylist(), (counts * ID_BYTES).tolist(), strict=True):
+                ids = raw[at : at + n] + end
+                at += n
                 held.append((doc, ids))
                 tokens += len(ids) // ID_BYTES
                 if tokens >= window_tokens:

@@ -12,8 +12,6 @@ _BEYOND = re.compile("[^\x00-\u024f]")
 _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _RUN = re.compile(r"[\s\x1c-\x1f]{2}")
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t-\r]+")
 
 
 def byte_level(text: str, pattern: str) -> list[str]:
@@ -32,8 +30,3 @@ def spaced_pieces(text: str) -> list[str] | None:
 def lower_words(chunk: str) -> list[str] | None:
     """Matches of the lower-casing word splitter in a chunk without white space; None if it needs the library."""
     return None if _BEYOND.search(chunk) else _WORDS.findall(chunk.lower())
-
-
-def chunks_of(text: str) -> list[str]:
-    """The text's chunks between white space."""
-    return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +297,23 @@ def test_merging_equals_one_at_a_time():
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+def test_packing_ids_equal_the_library():
+    """Batches split and merged in arrays give the library's ids, for odd characters, long runs and special strings too."""
+    from tokenizers import Tokenizer
+
+    coder = packing.BatchCoder(WORD_BPE, part=7)
+    library = Tokenizer.from_file(WORD_BPE)
+    r = random.Random(3)
+    letters = [*"abcABC019 \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u200b'\"!?.-_éÉßİſKÅ中文🙂\u0301\x00\x7f", "'s", "'re", "'LL", "don't", "</w>", "the", *coder.table.specials]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(4000)] + ["", None, " ", "a" * 30_000, "'" * 500, "1" * 300]
+    for some in (texts, [], [None], ["'"], ["\n"]):
+        ids, counts = coder.encode(pa.array(some, pa.string()))
+        ends = counts.cumsum()
+        assert len(counts) == len(some) and counts.sum() == len(ids)
+        for text, n, end in zip(some, counts.tolist(), ends.tolist(), strict=True):
+            assert ids[end - n : end].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
