@@ -265,10 +265,10 @@ class Coder:
         size, pairs = len(self.words["known"]), len(_pair_tables(self.file)[1])
 
         def coded(t: Column, d: Column, single: Column, known: Column, ids: Column, hops: Column) -> Column:
-            hashed = lambda w: F.shiftright(F.xxhash64(w), 2)
-            slot = lambda w: F.pmod(hashed(w) + F.get(hops, F.pmod(hashed(w), F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
+            hashes = lambda x: F.transform(x, lambda w: F.shiftright(F.xxhash64(w), 2))
+            slot = lambda h: F.pmod(h + F.get(hops, F.pmod(h, F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
             look = lambda w, s: F.when(F.get(known, s) == w, F.get(ids, s)).otherwise(self._folded(w, t, d, single, pairs))
-            return let(self.split(text), lambda x: F.array_join(F.zip_with(x, F.transform(x, slot), look), " "))
+            return let(self.split(text), lambda x: F.array_join(F.zip_with(x, F.transform(hashes(x), slot), look), " "))
 
         return _bound(tables, "pairs shifts single known ids hops", coded)
 
