@@ -87,7 +87,8 @@ def _sized(n: int) -> int:
 
 def _literals(spark: SparkSession, **arrays) -> Column:
     """Arrays as the fields of one literal struct."""
-    made = {k: pa.array(v, pa.int64() if isinstance(v, np.ndarray) else pa.string()) for k, v in arrays.items()}
+    kind = lambda v: pa.int64() if isinstance(v, np.ndarray) else pa.list_(pa.int32()) if v and isinstance(v[0], list) else pa.string()
+    made = {k: pa.array(v, kind(v)) for k, v in arrays.items()}
     one = {k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in made.items()}
     row = pa.StructArray.from_arrays(list(one.values()), names=list(one))
     return spark.createDataFrame(pa.table({"literals": row})).select("literals").scalar()
@@ -138,7 +139,7 @@ class Coder:
         self.file, self.pattern = rank_file, "(?U)" + pattern
         self.ranks = ranks_of(rank_file)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words = {"known": [""], "ids": [""], "hops": np.zeros(_BUCKETS, np.int64)}
+        self.words = {"known": [""], "ids": [[]], "hops": np.zeros(_BUCKETS, np.int64)}
 
     def split(self, text: Column) -> Column:
         """All matches of the pattern; null and empty texts have none."""
@@ -147,7 +148,7 @@ class Coder:
     # ---- folding
 
     def _folded(self, word: Column, t: Column, d: Column, single: Column, size: int) -> Column:
-        """The ids of a word, joined by blanks."""
+        """The ids of a word."""
         none = NO_RANK * _RANK
         sym = lambda x: x.bitwiseAND(F.lit(_SYMBOL - 1))
 
@@ -204,12 +205,16 @@ class Coder:
             step = lambda acc, _: F.when(acc["m"] < none, let(everywhere(acc["s"]), with_least)).otherwise(acc)
             long = F.aggregate(some, with_least(s), lambda acc, _: F.when(acc["m"] < none, F.aggregate(some, acc, step)).otherwise(acc), lambda acc: acc["s"])
             done = F.when(F.size(s) < 2, s).when(F.size(s) <= LONG_WORD, short).otherwise(long) if in_order(self.file) else F.when(F.size(s) < 2, s).otherwise(short)
-            return F.array_join(F.transform(done, lambda x: sym(x).cast("string")), " ")
+            return F.transform(done, lambda x: sym(x).cast("int"))
 
         return let(let(symbols, begin), out)
 
     def fold(self, word: Column, tables: Column) -> Column:
         """The ids of one word, joined by blanks."""
+        return F.array_join(self.folded(word, tables).cast("array<string>"), " ")
+
+    def folded(self, word: Column, tables: Column) -> Column:
+        """The ids of one word."""
         return _bound(tables, "pairs shifts single", lambda t, d, x: self._folded(word, t, d, x, len(_pair_tables(self.file)[1])))
 
     # ---- the dictionary
@@ -233,19 +238,19 @@ class Coder:
             if total + n > most_words:
                 break
             total, least = total + n, lv
-        found: dict[str, str] = {}
+        found: dict[str, list[int]] = {}
         if least is not None:
             top = w.where(level >= least).select("word", self.tables(docs.sparkSession).alias("__tables"))
-            got = top.select("word", self.fold(F.col("word"), F.col("__tables")).alias("ids")).toArrow()
+            got = top.select("word", self.folded(F.col("word"), F.col("__tables")).alias("ids")).toArrow()
             found = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
         for token, r in self.ranks.items():  # a word that is a token has its id, also if merging doesn't lead there
             word = token.decode("utf-8", "ignore")
             if word.encode() == token and merge_bytes(token, self.ranks) != [r]:
-                found[word] = str(r)
+                found[word] = [r]
         self._set_words(found)
         return self
 
-    def _set_words(self, found: dict[str, str]) -> None:
+    def _set_words(self, found: dict[str, list[int]]) -> None:
         from xxhash import xxh64_intdigest
 
         h = np.array([xxh64_intdigest(w.encode(), 42) for w in found], np.uint64).view(np.int64) >> 2
@@ -255,56 +260,48 @@ class Coder:
                 break
             except ValueError:
                 continue
-        words, ids = [""] * size, [""] * size
+        words, ids = [""] * size, [[]] * size
         for k, (w, i) in zip(((h + d[h % _BUCKETS]) % size).tolist(), found.items(), strict=True):
             words[k], ids[k] = w, i
         self.words = {"known": words, "ids": ids, "hops": d}
 
-    def ids_text(self, text: Column, tables: Column) -> Column:
-        """The ids of a text, joined by blanks; "" for null and empty texts."""
+    def ids(self, text: Column, tables: Column) -> Column:
+        """The ids of a text; none for null and empty texts."""
         size, pairs = len(self.words["known"]), len(_pair_tables(self.file)[1])
 
         def coded(t: Column, d: Column, single: Column, known: Column, ids: Column, hops: Column) -> Column:
             hashes = lambda x: F.transform(x, lambda w: F.shiftright(F.xxhash64(w), 2))
             slot = lambda h: F.pmod(h + F.get(hops, F.pmod(h, F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
             look = lambda w, s: F.when(F.get(known, s) == w, F.get(ids, s)).otherwise(self._folded(w, t, d, single, pairs))
-            return let(self.split(text), lambda x: F.array_join(F.zip_with(x, F.transform(hashes(x), slot), look), " "))
+            return let(self.split(text), lambda x: F.flatten(F.zip_with(x, F.transform(hashes(x), slot), look)))
 
         return _bound(tables, "pairs shifts single known ids hops", coded)
 
-    def decode_text(self, ids_text: Column, tables: Column) -> Column:
-        """The bytes of ids joined by blanks."""
-        ids = F.filter(F.split(ids_text, " "), lambda x: x != "")
-        return F.encode(_bound(tables, "pieces", lambda p: F.array_join(F.transform(ids, lambda x: F.get(p, x.cast("int"))), "")), "ISO-8859-1")
+    def decode(self, ids: Column, tables: Column) -> Column:
+        """The bytes of an array of ids."""
+        return F.encode(_bound(tables, "pieces", lambda p: F.array_join(F.transform(ids, lambda x: F.get(p, x)), "")), "ISO-8859-1")
 
     def encoded(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, r): the ids of each text, joined by blanks (r.t), and the bytes that they decode to (r.decoded).
+        """(doc_id, r): the ids of each text (r.ids), and the bytes that they decode to (r.decoded).
 
         Both come from one expression: a projection that has the maps as a column would copy them into every row.
         """
         d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", self.tables(docs.sparkSession).alias("__tables"))
-        both = lambda x: let(self.ids_text(F.col("text"), x), lambda t: F.struct(t.alias("t"), self.decode_text(t, x).alias("decoded")))
+        both = lambda x: let(self.ids(F.col("text"), x), lambda i: F.struct(i.alias("ids"), self.decode(i, x).alias("decoded")))
         return d.select("doc_id", let(F.col("__tables"), both).alias("r"))
 
 
-def n_ids(ids_text: Column) -> Column:
-    """How many ids a text of ids has."""
-    return F.when(ids_text == "", F.lit(0)).otherwise(F.length(ids_text) - F.length(F.replace(ids_text, F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, ids (array<int>), decoded (binary: the text's bytes, from the ids).
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored; an empty table gives
     no rows; a null doc_id stays.
     """
-    coder = Coder(rank_file, pattern).learn(docs, most_words)
-    ids = F.filter(F.split("r.t", " "), lambda x: x != "").cast("array<int>")
-    return coder.encoded(docs).select("doc_id", ids.alias("ids"), "r.decoded")
+    return Coder(rank_file, pattern).learn(docs, most_words).encoded(docs).select("doc_id", "r.ids", "r.decoded")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode()."""
     coder = Coder(rank_file, pattern).learn(docs, most_words)
-    t = F.col("r.t")
-    return coder.encoded(docs).select("doc_id", n_ids(t).alias("n_tokens"), F.sha2(t, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
+    text = F.array_join(F.col("r.ids").cast("array<string>"), " ")
+    return coder.encoded(docs).select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
