@@ -377,6 +377,41 @@ def test_resampling(spark, docs, labels, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in resampling.resample(docs, labels).where("kept").collect()}
 
 
+def test_resampling_against_brute_force(spark):
+    """Log ratios, noise and the number drawn, recomputed one text at a time."""
+    import math
+    import struct
+
+    import xxhash
+
+    d, lab, truth = corpus(spark, 120)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    top = 1 << 16
+
+    def grams_of(text):
+        h = [xxhash.xxh64_intdigest(r) for c in text.split() for r in re.findall(r"[^\W\d_]+|[\W\d_]+", c)]
+        odd, cut = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        return [("1", x >> 48) for x in h] + [("2", (((a * odd & cut) ^ b) * odd & cut) >> 48) for a, b in zip(h, h[1:], strict=False)]
+
+    raw, target = {}, {}
+    for i, t in texts.items():
+        for g in grams_of(t):
+            raw[g] = raw.get(g, 0) + 1
+            if truth.get(i, (0, 0))[0]:
+                target[g] = target.get(g, 0) + 1
+    scale = {k: sum(n for g, n in target.items() if g[0] == k) / sum(n for g, n in raw.items() if g[0] == k) for k in "12"}
+    assert all(0 <= g[1] < top for g in raw)
+    want = {}
+    for i, t in texts.items():
+        ratio = sum(math.log(target.get(g, 0) + 4.0) - math.log(raw[g] * scale[g[0]] + 4.0) for g in grams_of(t))
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 5), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        want[i] = ratio, ratio - math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52)))
+    got = by_id(resampling.resample(d, lab), "log_ratio", "key", "kept")
+    assert all(got[i][:2] == pytest.approx(want[i], abs=1e-3) for i in want)
+    k = math.ceil(np.mean([q for q, _ in truth.values()]) * len(texts))
+    assert {i for i in got if got[i][2]} == set(sorted(want, key=lambda i: -want[i][1])[:k])
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     x = [round(rng.gauss(0, 50), 1) for _ in range(3000)] + [7.5] * 500
