@@ -1,19 +1,23 @@
-"""Byte-level BPE encoding and decoding in Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding, folded in Spark's higher-order functions.
 
 A text is split by the tokenizer's pattern. A word's bytes become an array of symbols, and a fold over it merges the
-pair of lowest rank, step by step; ranks come from a literal map of pairs. Decoding looks up each id's bytes in a
-literal array and concatenates the pieces.
-
-Distinct words are counted over all documents, and the most frequent of them (a bounded number) are folded once: their
-ids are a literal dictionary, which only saves time. Every other word is folded where it stands, so no token is
-shuffled. Literal maps are perfect hash tables: arrays with a displacement per bucket, looked up in constant time. They
-are the value of a scalar subquery, so that plans stay small; a projection of its own holds it until Spark merges it
-with the one that uses it, as the analyzer takes no subquery inside a higher-order function.
+pair of lowest rank, step by step; ranks come from a literal map of pairs.
+
+Distinct words are counted over all documents, and the most frequent of them (a bounded number) are folded once: with
+their ids they are a dictionary that is broadcast to the words of the texts, which only saves time. Every other word is
+folded where it stands, so no token is shuffled. Words stay in their partition and order, in which a task puts a text's
+ids together again; their places are checked. Decoding concatenates the binary pieces of the ids.
+
+Literal maps are perfect hash tables: arrays with a displacement per bucket, looked up in constant time. They are the
+value of a scalar subquery, so that plans stay small; a projection of its own holds it until Spark merges it with the
+one that uses it, as the analyzer takes no subquery inside a higher-order function.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +26,8 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, ship
+from .arrow import enter
 from .rules import let
 
 #: An element of the fold's state: rank of the pair that begins here, the place in the word, the symbol.
@@ -87,8 +92,7 @@ def _sized(n: int) -> int:
 
 def _literals(spark: SparkSession, **arrays) -> Column:
     """Arrays as the fields of one literal struct."""
-    kind = lambda v: pa.int64() if isinstance(v, np.ndarray) else pa.list_(pa.int32()) if v and isinstance(v[0], list) else pa.string()
-    made = {k: pa.array(v, kind(v)) for k, v in arrays.items()}
+    made = {k: pa.array(v, pa.int64()) for k, v in arrays.items()}
     one = {k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in made.items()}
     row = pa.StructArray.from_arrays(list(one.values()), names=list(one))
     return spark.createDataFrame(pa.table({"literals": row})).select("literals").scalar()
@@ -139,7 +143,6 @@ class Coder:
         self.file, self.pattern = rank_file, "(?U)" + pattern
         self.ranks = ranks_of(rank_file)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words = {"known": [""], "ids": [[]], "hops": np.zeros(_BUCKETS, np.int64)}
 
     def split(self, text: Column) -> Column:
         """All matches of the pattern; null and empty texts have none."""
@@ -217,18 +220,17 @@ class Coder:
         """The ids of one word."""
         return _bound(tables, "pairs shifts single", lambda t, d, x: self._folded(word, t, d, x, len(_pair_tables(self.file)[1])))
 
-    # ---- the dictionary
-
     def tables(self, spark: SparkSession) -> Column:
-        """The literal maps; pieces holds each id's bytes, a character for a byte."""
+        """The literal maps of the fold."""
         d, t = _pair_tables(self.file)
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for token, r in self.ranks.items():
-            pieces[r] = token.decode("latin-1")
-        return _literals(spark, pairs=t, shifts=d, single=self.bytes, pieces=pieces, **self.words)
+        return _literals(spark, pairs=t, shifts=d, single=self.bytes)
 
-    def learn(self, docs: DataFrame, most_words: int = 400_000) -> Coder:
-        """Fold the most frequent words of all documents once: at most `most_words`, of 64 characters at most."""
+    # ---- the dictionary
+
+    def dictionary(self, docs: DataFrame, most_words: int = 400_000) -> DataFrame:
+        """(word, ids): the most frequent words of all documents, folded once: at most `most_words`, of 64 characters at
+        most, and the tokens that merging doesn't lead to. A word comes once."""
+        spark = docs.sparkSession
         w = docs.select(F.explode(self.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         w = materialize(w.where(F.char_length("word") <= 64), "word-counts")
         level = F.floor(F.log2(F.col("n").cast("double")) * 16)
@@ -238,70 +240,131 @@ class Coder:
             if total + n > most_words:
                 break
             total, least = total + n, lv
-        found: dict[str, list[int]] = {}
-        if least is not None:
-            top = w.where(level >= least).select("word", self.tables(docs.sparkSession).alias("__tables"))
-            got = top.select("word", self.folded(F.col("word"), F.col("__tables")).alias("ids")).toArrow()
-            found = dict(zip(got["word"].to_pylist(), got["ids"].to_pylist(), strict=True))
-        for token, r in self.ranks.items():  # a word that is a token has its id, also if merging doesn't lead there
-            word = token.decode("utf-8", "ignore")
-            if word.encode() == token and merge_bytes(token, self.ranks) != [r]:
-                found[word] = [r]
-        self._set_words(found)
-        return self
-
-    def _set_words(self, found: dict[str, list[int]]) -> None:
-        from xxhash import xxh64_intdigest
-
-        h = np.array([xxh64_intdigest(w.encode(), 42) for w in found], np.uint64).view(np.int64) >> 2
-        for size in range(_sized(len(h)), _sized(len(h)) + 2_000, 2):
-            try:
-                d = displaced(h, h % _BUCKETS, size)
-                break
-            except ValueError:
-                continue
-        words, ids = [""] * size, [[]] * size
-        for k, (w, i) in zip(((h + d[h % _BUCKETS]) % size).tolist(), found.items(), strict=True):
-            words[k], ids[k] = w, i
-        self.words = {"known": words, "ids": ids, "hops": d}
+        top = w.where(level >= least if least is not None else F.lit(False))
+        whole = [(word, [r]) for word, r in unmerged(self.file)]
+        if whole:
+            top = top.where(~F.col("word").isin([x for x, _ in whole]))
+        top = top.select("word", self.tables(spark).alias("__tables")).select("word", self.folded(F.col("word"), F.col("__tables")).alias("ids"))
+        if whole:
+            top = top.unionByName(spark.createDataFrame(whole, "word string, ids array<int>"))
+        return materialize(top, "dictionary")
+
+    def words(self, docs: DataFrame, most_words: int) -> DataFrame:
+        """(doc_id, pos, ids): a row per word of each text, in order; one without pos and ids for a text without words."""
+        spark = docs.sparkSession
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(self.split(F.col("text"))).alias("pos", "word"))
+        d = d.join(F.broadcast(self.dictionary(docs, most_words)), "word", "left")
+        d = d.select("doc_id", "pos", "word", "ids", self.tables(spark).alias("__tables"))
+        return d.select("doc_id", "pos", F.coalesce("ids", self.folded(F.col("word"), F.col("__tables"))).alias("ids"))
 
-    def ids(self, text: Column, tables: Column) -> Column:
-        """The ids of a text; none for null and empty texts."""
-        size, pairs = len(self.words["known"]), len(_pair_tables(self.file)[1])
 
-        def coded(t: Column, d: Column, single: Column, known: Column, ids: Column, hops: Column) -> Column:
-            hashes = lambda x: F.transform(x, lambda w: F.shiftright(F.xxhash64(w), 2))
-            slot = lambda h: F.pmod(h + F.get(hops, F.pmod(h, F.lit(_BUCKETS)).cast("int")), F.lit(size)).cast("int")
-            look = lambda w, s: F.when(F.get(known, s) == w, F.get(ids, s)).otherwise(self._folded(w, t, d, single, pairs))
-            return let(self.split(text), lambda x: F.flatten(F.zip_with(x, F.transform(hashes(x), slot), look)))
+@lru_cache(maxsize=4)
+def unmerged(path: str) -> list[tuple[str, int]]:
+    """Words that are tokens, and have their ids, though merging doesn't lead there."""
+    ranks = ranks_of(path)
+    texts = ((t, t.decode("utf-8", "ignore"), r) for t, r in ranks.items())
+    return [(x, r) for t, x, r in texts if x.encode() == t and merge_bytes(t, ranks) != [r]]
 
-        return _bound(tables, "pairs shifts single known ids hops", coded)
 
-    def decode(self, ids: Column, tables: Column) -> Column:
-        """The bytes of an array of ids."""
-        return F.encode(_bound(tables, "pieces", lambda p: F.array_join(F.transform(ids, lambda x: F.get(p, x)), "")), "ISO-8859-1")
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> tuple[pa.Array, pa.Array]:
+    """By id: its bytes, and a blank with its decimal digits."""
+    ranks = ranks_of(path)
+    made = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, r in ranks.items():
+        made[r] = token
+    return pa.array(made, pa.large_binary()), pa.array([b" %d" % i for i in range(len(made))], pa.large_binary())
+
 
-    def encoded(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, r): the ids of each text (r.ids), and the bytes that they decode to (r.decoded).
+def _joined(pieces: pa.Array, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The pieces of ids in one buffer, and where each begins and the last ends."""
+    x = pieces.take(ids)
+    offsets, data = x.buffers()[1:]
+    return memoryview(data or b""), np.frombuffer(offsets, np.int64, len(x) + 1, x.offset * 8) if len(x) else np.zeros(1, np.int64)
 
-        Both come from one expression: a projection that has the maps as a column would copy them into every row.
-        """
-        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", self.tables(docs.sparkSession).alias("__tables"))
-        both = lambda x: let(self.ids(F.col("text"), x), lambda i: F.struct(i.alias("ids"), self.decode(i, x).alias("decoded")))
-        return d.select("doc_id", let(F.col("__tables"), both).alias("r"))
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Of each batch of words(): [(doc_id, whether a text begins here, first and last place among the ids)], and the ids."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        pos = b.column("pos").fill_null(0).to_numpy()
+        due = np.r_[pos[0] if last is None else last + 1, pos[:-1] + 1]
+        if (last is None and pos[0]) or ((pos != due) & (pos != 0)).any():
+            raise ValueError("the words of a text are not in order")
+        last = int(pos[-1])
+        ids = b.column("ids")
+        ends = np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)]
+        starts = np.flatnonzero(pos == 0)
+        rows = starts if len(starts) and starts[0] == 0 else np.r_[0, starts]
+        docs = b.column("doc_id").take(pa.array(rows)).to_pylist()
+        stops = np.r_[rows[1:], len(pos)]
+        yield list(zip(docs, (pos[rows] == 0).tolist(), ends[rows].tolist(), ends[stops].tolist(), strict=True)), ids.flatten()
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, ids (array<int>), decoded (binary: the text's bytes, from the ids).
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored; an empty table gives
-    no rows; a null doc_id stays.
+    no rows; a null doc_id stays. A task holds the ids of one text and of one batch of words.
     """
-    return Coder(rank_file, pattern).learn(docs, most_words).encoded(docs).select("doc_id", "r.ids", "r.decoded")
+    ship(docs.sparkSession)
+
+    def whole(batches):
+        enter("byte_bpe")
+        pieces, held = _pieces(rank_file)[0], None
+
+        def row(doc, parts):
+            ids = pa.concat_arrays(parts)
+            data = _joined(pieces, ids)[0]
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([data.tobytes()], pa.binary())], ["doc_id", "ids", "decoded"])
+
+        for found, ids in _stretches(batches):
+            for doc, begins, a, z in found:
+                if begins:
+                    if held:
+                        yield row(*held)
+                    held = (doc, [])
+                held[1].append(ids.slice(a, z - a))
+        if held:
+            yield row(*held)
+
+    return Coder(rank_file, pattern).words(docs, most_words).mapInArrow(whole, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode()."""
-    coder = Coder(rank_file, pattern).learn(docs, most_words)
-    text = F.array_join(F.col("r.ids").cast("array<string>"), " ")
-    return coder.encoded(docs).select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("r.decoded", 256).alias("decoded_sha256"))
+    """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode().
+    A task holds one batch of words, however long a text is."""
+    ship(docs.sparkSession)
+
+    def hashed(batches):
+        enter("byte_bpe")
+        pieces, decimals = _pieces(rank_file)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        held = None
+
+        def rows(done):
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+
+        def closed(doc, n, of_ids, of_bytes):
+            return doc, n, of_ids.hexdigest(), of_bytes.hexdigest()
+
+        for found, ids in _stretches(batches):
+            (data, at), (text, text_at) = _joined(pieces, ids), _joined(decimals, ids)
+            done = []
+            for doc, begins, a, z in found:
+                if begins:
+                    if held:
+                        done.append(closed(*held))
+                    held = [doc, 0, hashlib.sha256(), hashlib.sha256()]
+                if a < z:
+                    held[2].update(text[text_at[a] + (held[1] == 0) : text_at[z]])
+                    held[3].update(data[at[a] : at[z]])
+                    held[1] += z - a
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([closed(*held)])
+
+    return Coder(rank_file, pattern).words(docs, most_words).mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
