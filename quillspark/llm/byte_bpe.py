@@ -227,7 +227,7 @@ class Coder:
 
     # ---- the dictionary
 
-    def dictionary(self, docs: DataFrame, most_words: int = 400_000) -> DataFrame:
+    def dictionary(self, docs: DataFrame, most_words: int = 800_000) -> DataFrame:
         """(word, ids): the most frequent words of all documents, folded once: at most `most_words`, of 64 characters at
         most, and the tokens that merging doesn't lead to. A word comes once."""
         spark = docs.sparkSession
@@ -303,7 +303,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Arr
         yield list(zip(docs, (pos[rows] == 0).tolist(), ends[rows].tolist(), ends[stops].tolist(), strict=True)), ids.flatten()
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 800_000) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, ids (array<int>), decoded (binary: the text's bytes, from the ids).
 
     Null and empty texts have no ids. Repeated rows are encoded each; other columns are ignored; an empty table gives
@@ -333,7 +333,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_
     return Coder(rank_file, pattern).words(docs, most_words).mapInArrow(whole, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 400_000) -> DataFrame:
+def digests(docs: DataFrame, rank_file: str, pattern: str, most_words: int = 800_000) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by blanks), decoded_sha256; see encode().
     A task holds one batch of words, however long a text is."""
     ship(docs.sparkSession)
