@@ -228,11 +228,11 @@ class Coder:
     # ---- the dictionary
 
     def dictionary(self, docs: DataFrame, most_words: int = 800_000) -> DataFrame:
-        """(word, ids): the most frequent words of all documents, folded once: at most `most_words`, of 64 characters at
+        """(word, ids): the most frequent words of all documents, folded once: at most `most_words`, of 64 bytes at
         most, and the tokens that merging doesn't lead to. A word comes once."""
         spark = docs.sparkSession
         w = docs.select(F.explode(self.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        w = materialize(w.where(F.char_length("word") <= 64), "word-counts")
+        w = materialize(w.where(F.octet_length("word") <= 64), "word-counts")
         level = F.floor(F.log2(F.col("n").cast("double")) * 16)
         levels = sorted(((r[0], r[1]) for r in w.groupBy(level.alias("l")).count().collect()), reverse=True)
         total, least = 0, None
