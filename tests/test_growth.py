@@ -1,6 +1,10 @@
 """Rows that operators make on groups of equal keys, and their results against brute force."""
 
+import random
+
 from quillspark.operators import spell
+from quillspark.plans import catalog
+from test_operators import lev
 
 
 def made(df):
@@ -28,3 +32,28 @@ def test_sound_meets_a_codes_first_candidates(spark):
     best = sorted(words, key=lambda w: (-1 - words.index(w) % 3, w))[:3]
     assert sorted(map(tuple, rows)) == sorted((w, c, k + 1) for w in words for k, c in enumerate(best))
     assert most <= 3 * len(words)
+
+
+def test_distances_are_tried_in_turn(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(8))) for _ in range(80)})
+    d = spark.createDataFrame([(w, w) for w in words], "ord string, word string")
+    variants, tried = spell._variants, set()
+    monkeypatch.setattr(spell, "_variants", lambda df, column, most: tried.add(most) or variants(df, column, most))
+    for probes, levels in ([w[:3] + w[4:] for w in words if w], {0, 1}), (["dcbadcbadc", None, "", "abcdabcdab"], {0, 1, 2}):
+        tried.clear()
+        got = sorted((w, k, c) for w, c, k in spell.by_distance(spark.createDataFrame([(p,) for p in probes], "word string"), d).collect() if w is not None)
+        want = []
+        for p in sorted({p for p in probes if p is not None}):
+            best = min(lev(p, w) for w in words)
+            want += [(p, k + 1, c) for k, c in enumerate([w for w in words if lev(p, w) == best] if best <= 2 else [p])]
+        assert got == want and tried == levels
+
+
+def test_corrections_dont_meet_documents(spark, tmp_path):
+    words, sf = [f"w{x}{y}z" for x in "abcde" for y in "abcd"], str(tmp_path)
+    texts = [(i % 290, " ".join(words), "en", "src") for i in range(300)]  # ten ids have two rows
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows, most = made(catalog.QUERIES["corrected_search"](spark, sf))
+    assert len(rows) > len(words) and {r.n_docs for r in rows} == {290} and most <= 600 * len(words)
