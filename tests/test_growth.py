@@ -2,7 +2,10 @@
 
 import random
 
-from quillspark.operators import spell
+import numpy as np
+import pyarrow as pa
+
+from quillspark.operators import chunk, spell, vector
 from quillspark.plans import catalog
 from test_operators import lev
 
@@ -57,3 +60,34 @@ def test_corrections_dont_meet_documents(spark, tmp_path):
     spark.createDataFrame([(0, " ".join(words))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     rows, most = made(catalog.QUERIES["corrected_search"](spark, sf))
     assert len(rows) > len(words) and {r.n_docs for r in rows} == {290} and most <= 600 * len(words)
+
+
+def test_nearest_with_copies_and_large_values(spark):
+    rng = np.random.default_rng(6)
+    m = np.vstack([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(3, 8)), 20, axis=0), 1e6 + rng.normal(size=(40, 8)) * 1e-3])
+    xs = np.vstack([m[::9] + rng.normal(size=m[::9].shape) * 1e-3, m[300:360:7]])
+    for got_rows, got_d, x in zip(*vector._closest(m, xs, 5), xs, strict=True):
+        d = ((m - x) ** 2).sum(axis=1)
+        want = np.lexsort((np.arange(len(m)), d))[:5]
+        order = np.lexsort((got_rows, got_d))[:5]
+        assert (got_rows[order] == want).all() and (got_d[order] == d[want]).all()
+
+
+def test_answers_of_every_hundredth_conversation(spark, tmp_path):
+    sf = str(tmp_path)
+    texts = [(i, f"Word{i} stands here. Other words follow it in text {i}.", "en", f"src{i}") for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    turns = [(c, 0, "user", f"Word{c % 29} stands") for c in (0, 7, 100, 150, 300)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    got = {r.query_id: r for r in catalog.QUERIES["cited_answers"](spark, sf).collect()}
+    assert got.keys() == {0, 100, 300}
+    for c, r in got.items():
+        assert "stands here." in r.answer and r.answer.count("SOURCE: src") == 7 == r.context.count("\n")
+
+
+def test_pieces_come_in_small_batches(spark):
+    docs = spark.createDataFrame([(i, "ab cd " * 200, "s") for i in range(300)], "doc_id long, text string, source string").coalesce(1)
+    sizes = chunk.recursive_chunks(docs, keep=["source"]).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+    pieces = len(chunk.split_recursively("ab cd " * 200))
+    assert sum(r.n for r in sizes) == 300 * pieces and max(r.n for r in sizes) <= 10_000
+    assert {tuple(r) for r in chunk.recursive_chunks(docs, keep=["source"]).groupBy("source", "doc_id").count().select("source", "count").collect()} == {("s", pieces)}
