@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from quillspark.operators import chunk, spell, vector
+from pyspark.sql import functions as F
+
+from quillspark.functions import providers
+from quillspark.operators import analyze, chunk, index, spell, vector
 from quillspark.plans import catalog
 from test_operators import lev
 
@@ -91,3 +94,25 @@ def test_pieces_come_in_small_batches(spark):
     pieces = len(chunk.split_recursively("ab cd " * 200))
     assert sum(r.n for r in sizes) == 300 * pieces and max(r.n for r in sizes) <= 10_000
     assert {tuple(r) for r in chunk.recursive_chunks(docs, keep=["source"]).groupBy("source", "doc_id").count().select("source", "count").collect()} == {("s", pieces)}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+
+
+def test_postings_of_single_rows_need_no_shuffle(spark):
+    rows = [(1, "flow heat flow"), (2, "heat"), (2, "heat cold"), (None, "flow")]
+    a = analyze.Analyzer(stop_words=())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.term, r.df, r.ids) for r in index.listed(index.postings(docs, a)).collect()) == [("cold", 1, [2]), ("flow", 2, [1]), ("heat", 2, [1, 2])]
+    single = docs.where("text <> 'heat'")
+    known = index.postings(single, a, keys_differ=True)
+    assert sorted(map(str, known.collect())) == sorted(map(str, index.postings(single, a).collect()))
+    assert shuffles(known) == 0 and shuffles(index.listed(known)) == 1
+
+
+def test_answer_of_odd_questions(spark):
+    told = "Chunk a: red fox. A red red hen!\nBlue cow? end"
+    d = spark.createDataFrame([("red hen!", told), ("", told), (None, told), ("cow? COW?", told), ("red", ""), ("zzz", told)], "q string, c string")
+    got = [r.a for r in d.select(providers.extract_answer(F.col("q"), F.col("c")).alias("a")).collect()]
+    assert got == ["A red red hen!", "Chunk a: red fox.", "Chunk a: red fox.", "Blue cow?", "", "Chunk a: red fox."]
