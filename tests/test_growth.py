@@ -40,6 +40,26 @@ def test_sound_meets_a_codes_first_candidates(spark):
     assert most <= 3 * len(words)
 
 
+def test_similar_words_meet_by_rare_grams(spark):
+    """Words of one code against brute force: ties, words without a common gram, short ones, repeated entries."""
+    rng = random.Random(7)
+    vowels = lambda k: "b" + "".join(rng.choice("aeiouyhw") for _ in range(k))
+    words = sorted({vowels(rng.randrange(2, 14)) for _ in range(500)}) + ["taataa", "taataat", "zo"]
+    entries = words + words[::50]
+    probes = sorted({w[0] + w[2:] for w in words} | {vowels(3)[:2] for _ in range(4)} | {"b", "", "zaaa", "q", "tataata"})
+    grams = lambda w: {w[i : i + 3] for i in range(len(w) - 2)} if len(w) > 2 else {w}
+    code = lambda w: "B000" if w[:1] == "b" else {"taataat": "T330", "taataa": "T300", "tataata": "T330", "tataat": "T330", "tataa": "T300"}.get(w, w[:1])
+    want = set()
+    for p in probes:
+        s = {c: len(grams(p) & grams(c)) / len(grams(p) | grams(c)) for c in words if code(c) == code(p)}
+        best = sorted((lev(p, c), c) for c in entries if c in s and s[c] == max(s.values()))[:3]
+        want |= {(p, c, k + 1) for k, (_, c) in enumerate(best or [(0, p)])}
+    asked = spark.createDataFrame([(p,) for p in probes] + [(None,)], "word string")
+    rows, most = made(spell.by_all(asked, spark.createDataFrame([(w, w) for w in entries], "ord string, word string")))
+    assert {tuple(r) for r in rows if r.word is not None} == want and len(rows) == len(want) + 1
+    assert most <= 20 * len(words)
+
+
 def test_distances_are_tried_in_turn(spark, monkeypatch):
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(8))) for _ in range(80)})
