@@ -131,6 +131,13 @@ def test_postings_of_single_rows_need_no_shuffle(spark):
     assert shuffles(known) == 0 and shuffles(index.listed(known)) == 1
 
 
+def test_blocks_are_indexed_where_their_texts_are(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"t{i % 2}{k % 25}" for k in range(200))) for i in range(40)], "doc_id long, text string")
+    rows, most = made(index.block_index(docs, 10))
+    assert sorted((r.block_id, r.term, r.ids) for r in rows) == sorted((b, f"t{i}{k}", list(range(10 * b + i, 10 * b + 10, 2))) for b in range(4) for i in range(2) for k in range(25))
+    assert most <= 200  # 8,000 words, 1,000 pairs of term and id
+
+
 def test_answer_of_odd_questions(spark):
     told = "Chunk a: red fox. A red red hen!\nBlue cow? end"
     d = spark.createDataFrame([("red hen!", told), ("", told), (None, told), ("cow? COW?", told), ("red", ""), ("zzz", told)], "q string, c string")
