@@ -135,7 +135,26 @@ def test_blocks_are_indexed_where_their_texts_are(spark):
     docs = spark.createDataFrame([(i, " ".join(f"t{i % 2}{k % 25}" for k in range(200))) for i in range(40)], "doc_id long, text string")
     rows, most = made(index.block_index(docs, 10))
     assert sorted((r.block_id, r.term, r.ids) for r in rows) == sorted((b, f"t{i}{k}", list(range(10 * b + i, 10 * b + 10, 2))) for b in range(4) for i in range(2) for k in range(25))
-    assert most <= 200  # 8,000 words, 1,000 pairs of term and id
+    rows, merging = made(index.merge_blocks(index.block_index(docs, 10)))
+    assert {(r.term, r.df, tuple(r.ids)) for r in rows} == {(f"t{i}{k}", 20, tuple(range(i, 40, 2))) for i in range(2) for k in range(25)}
+    assert max(most, merging) <= 200  # 8,000 words, 1,000 pairs of term and id
+
+
+def test_blocks_of_equal_and_missing_ids(spark):
+    """Equal ids fill blocks like others and may lie in two; a null id counts, as in SQL; batches end anywhere."""
+    ids = [5] * 7 + [None] * 3 + [1, 2, 9, 2**60 + 1, 2**60 + 2]
+    known = sorted({i for i in ids if i is not None})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for kind, order in (("long", known), ("string", sorted(map(str, known)))):
+            docs = spark.createDataFrame([(i, f'w{k} "all\\ all') for k, i in enumerate(ids)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+            blocks = index.block_index(docs, 4).cache()
+            assert sorted((r.block_id, r["count"]) for r in blocks.where("term <> 'all'").groupBy("block_id").count().collect()) == [(0, 4), (1, 4), (2, 4), (3, 3)]
+            of = {str(r.term): r for r in index.merge_blocks(blocks).collect()}
+            assert of.pop("all").ids == [None, *order] and len(of) == len(ids)
+            assert all(r.df == 1 and r.ids == [None if ids[int(t[1:])] is None else docs.schema["doc_id"].dataType.typeName() == "long" and ids[int(t[1:])] or str(ids[int(t[1:])])] for t, r in of.items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_answer_of_odd_questions(spark):
