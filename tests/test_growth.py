@@ -13,7 +13,7 @@ from quillspark.plans import catalog
 from test_operators import lev
 
 
-def made(df):
+def made(df, metric="numOutputRows"):
     """df's rows, and the most rows that a node of its plan made."""
     rows, most = df.collect(), 0
     todo = [df._jdf.queryExecution().executedPlan()]
@@ -24,8 +24,8 @@ def made(df):
             todo.append(p.executedPlan())
         elif name.endswith("QueryStage"):
             todo.append(p.plan())
-        elif p.metrics().contains("numOutputRows"):
-            most = max(most, p.metrics().apply("numOutputRows").value())
+        elif p.metrics().contains(metric):
+            most = max(most, p.metrics().apply(metric).value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return rows, most
 
@@ -157,6 +157,24 @@ def test_blocks_of_equal_and_missing_ids(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_field_search_shuffles_found_pairs(spark, tmp_path):
+    rng, words = random.Random(8), [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    phrases = [(i, " ".join(rng.choices(words, k=1 + i % 4)) + (" zz" if i == 5 else "")) for i in range(12)] + [(12, ""), (13, None), (14, "Ab1 ä"), (None, words[0])]
+    for name, ids in (("once", [*range(99), None]), ("twice", [*range(50), *range(50)])):
+        sf = str(tmp_path / name)
+        texts = [None if i == 7 else "\n".join(" ".join(rng.choices(words, k=24)) for _ in range(2)) for i in range(100)]
+        spark.createDataFrame([(i, t, "en", words[(i or 0) % 64]) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(phrases, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        held = {}
+        for i, t in zip(ids, texts, strict=True):
+            held.setdefault(i, set()).update((t or "").split())
+        wanted = [(q, set(p.split())) for q, p in phrases if p and "ä" not in p]
+        want = {(q, i) for q, p in wanted for i, ws in held.items() if p <= ws or p == {words[(i or 0) % 64]}}
+        rows, most = made(catalog.QUERIES["field_search"](spark, sf), "shuffleRecordsWritten")
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+        assert name == "twice" or most <= 2 * len(want)
+
+
 def test_answer_of_odd_questions(spark):
     told = "Chunk a: red fox. A red red hen!\nBlue cow? end"
     d = spark.createDataFrame([("red hen!", told), ("", told), (None, told), ("cow? COW?", told), ("red", ""), ("zzz", told)], "q string, c string")
